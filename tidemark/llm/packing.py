@@ -11,10 +11,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .shared import map_batches, materialize, text_batches, text_of
 END_ID = 1
 CAPACITY = 4096
 #: Words whose ids a worker remembers, at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part long, local_rank long"
 
@@ -36,31 +38,86 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words of plain letters, digits and marks, whose lower case, normal form and parts need no Unicode tables.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: The tokenizer's own split of a lower-case plain word.
+PART = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^ 0-9a-zß-öø-ÿ]+")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordCoder:
     """Ids of texts through a memory of white-space separated words.
 
     The tokenizer drops white space and never merges across it, so a text's ids
     are its words' ids in a row.  Splits only at space and newline; any other
     white space stays inside a word and is left to the tokenizer.
+
+    New plain words go through the same merges in one call for thousands of
+    words: with a zero byte for the end of a word, every merge is the join of
+    two byte strings to a third one of lower rank.  That holds since every entry
+    of the vocabulary encodes to itself (``merges_by_rank`` tests it).
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        alphabet, ranks = byte_alphabet(), {}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            body = token.removesuffix("</w>")
+            if all(c in alphabet for c in body):
+                ranks[bytes(alphabet[c] for c in body) + bytes(body != token)] = i
+        self.space = ranks[b" "]
+        self.merger = tiktoken.Encoding("words", pat_str="[^\\x00 ]+\\x00| ", mergeable_ranks=ranks, special_tokens={})
+
+    def merges_by_rank(self) -> bool:
+        """Whether each entry of the vocabulary that a plain word can reach encodes to itself."""
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        model = self.tokenizer.model
+        return all([t.id for t in model.tokenize(token.removesuffix("</w>"))] == [i] for token, i in vocab.items() if token.endswith("</w>"))
+
+    def encode_new(self, words: list[str]) -> None:
+        plain = [w for w in words if PLAIN(w) and "<|" not in w]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            ids = np.array(self.merger.encode_ordinary(PART.sub("\\g<0>\x00", " ".join(some).lower())), "<u4")
+            ends = np.r_[np.nonzero(ids == self.space)[0], len(ids)] * 4
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(some, ends.tolist(), strict=True):
+                self.known[word] = raw[start:end]
+                start = end + 4
+        other = [w for w in words if w not in self.known]
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            for word, enc in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                self.known[word] = np.asarray(enc.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (strings without null), flat, and each text's number of ids."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
-            for word, enc in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(enc.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        known = self.known
+        self.encode_new([w for w in distinct if w not in known])
+        coded = [known[w] for w in distinct]
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(coded), "<u4")
+        which = words.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())]
+        bounds = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return flat, np.diff(bounds)
 
 
 _coders: dict[str, WordCoder] = {}
@@ -77,10 +134,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = coder(tokenizer).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in text_batches(batches, 4 << 20):
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+        for batch in text_batches(batches, 12 << 20):
+            rows, (flat, sizes) = [], encode(batch.column(1))
+            raw, at_id = flat.tobytes(), 0
+            for doc, size in zip(batch.column(0).to_pylist(), sizes.tolist(), strict=True):
+                ids = raw[4 * at_id : 4 * (at_id + size)] + end
+                at_id += size
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4
@@ -178,6 +237,7 @@ def pack(
             }
         )
 
-    ranked = pieces.join(offsets.select("part", "length", "first_rank"), ["part", "length"])
+    # The offsets grow with the number of partitions, so they are merged, never broadcast.
+    ranked = pieces.join(offsets.select("part", "length", "first_rank").hint("merge"), ["part", "length"])
     placed = ranked.withColumn("slot", slot("length", F.col("first_rank") + F.col("local_rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids", "slot.sequence_id", "slot.offset")
