@@ -22,7 +22,7 @@ from .shared import map_batches, text_batches, text_of
 #: Hash slots for words.
 SLOTS = 1 << 18
 #: Labelled documents that a model is fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 6000
 ROUNDS = 250
 TELLING = 2.0
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_…«»„“”¡¿"
@@ -81,28 +81,34 @@ def train(docs: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, shrink: f
     weights = np.zeros(SLOTS + 1)
     if not len(docs) or y.min() == y.max():
         return weights, 3.0 if len(docs) and y.max() else -30.0
-    own = [np.unique(d[:, :-1]) for d in docs]
-    seen = np.bincount(np.concatenate(own), minlength=SLOTS + 1)
-    toxic = np.bincount(np.concatenate([x for x, k in zip(own, y, strict=True) if k]), minlength=SLOTS + 1)
+    seen, toxic = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    for d, label in zip(docs, y, strict=True):
+        own = np.unique(d[:, :-1])
+        seen[own] += 1
+        toxic[own] += label
     base = y.mean()
     telling = (seen >= 3) & ((toxic + base) / (seen - toxic + 1 - base) >= TELLING * base / (1 - base))
     telling[SLOTS] = False
-    flat = np.concatenate(docs)
-    bags = Bags([len(d) for d in docs], flat[:, -1])
-    slots, local = np.unique(flat[:, :-1], return_inverse=True)
-    local = local.reshape(flat[:, :-1].shape)
-    keep = telling[slots]
-    sentence = np.repeat(bags.sentence, local.shape[1])[keep[local.ravel()]]
-    local = local.ravel()[keep[local.ravel()]]
-    slots, local = slots[keep], (np.cumsum(keep) - 1)[local]
+    sentence, chosen, owner, before = [], [], [], 0
+    for i, d in enumerate(docs):
+        number = before + np.cumsum(d[:, -1]) - d[:, -1]
+        rows, cols = np.nonzero(telling[d[:, :-1]])
+        sentence.append(number[rows])
+        chosen.append(d[rows, cols])
+        own = int(number[-1]) + 1 - before if len(d) else 0
+        owner.append(np.full(own, i, np.int32))
+        before += own
+    sentence, owner = np.concatenate(sentence), np.concatenate(owner)
+    slots, local = np.unique(np.concatenate(chosen), return_inverse=True)
+    n_docs, n_sentences = len(docs), len(owner)
     w, b = np.zeros(len(slots)), -6.0
     m, v, mb, vb = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)) / len(y)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(sentence, w[local], len(bags.owner))
-        total = np.bincount(bags.owner, softplus(z), bags.docs)
+        z = b + np.bincount(sentence, w[local], n_sentences)
+        total = np.bincount(owner, softplus(z), n_docs)
         slope = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 60)), 1.0) * balance
-        dz = slope[bags.owner] * sigmoid(z)
+        dz = slope[owner] * sigmoid(z)
         g = np.bincount(local, dz[sentence], len(slots)) + shrink * np.tanh(w * 10)
         gb = dz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
