@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from .shared import map_batches, text_batches, text_of
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: Marks a word that follows a line end directly.
+INNER = "\x02"
 NEVER = np.int64(1) << 40
 
 
@@ -82,6 +85,7 @@ class Pieces:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self._spines()
+        self.memory = np.full(1 << 20, -2, np.int64)
 
     @staticmethod
     def hash_rows(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +136,19 @@ class Pieces:
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
 
     def goes_with(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether no merge ever joins across the border of pieces ``a`` and ``b``.
+        """Whether no merge ever joins across the border of pieces ``a`` and ``b``; remembers recent pairs."""
+        keys = a * self.n + b
+        slot = ((keys * 0x9E3779B1) >> 7) & (len(self.memory) - 1)
+        known = self.memory[slot]  # twice the key, plus the answer
+        out = (known & 1).astype(bool)
+        miss = np.nonzero(known >> 1 != keys)[0]
+        if len(miss):
+            out[miss] = self._goes_with(a[miss], b[miss])
+            self.memory[slot[miss]] = 2 * keys[miss] + out[miss]
+        return out
+
+    def _goes_with(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same, from the merges.
 
         Both sides' merges happen by rank, the left one first if equal; a merge
         across the border happens if its rank comes before both next ones.
@@ -153,8 +169,8 @@ class Pieces:
             live = live[go]
         return ok
 
-    def viterbi(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of words of equal length; an unknown character is its bytes (or -1 if the model has none)."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Piece ids (little-endian uint32) of words of equal length; an unknown character is its bytes (or -1 if the model has none)."""
         codes = chars(words)
         n, size = codes.shape
         last = np.full((n, size + 1), -1)  # the piece that ends the best path here; -1 before the first, -2 an unknown character
@@ -188,18 +204,30 @@ class Pieces:
             alone = (choice < 0) & (table[end, 1] < 0)
             last[alone, end], step[alone, end] = -2, 1
             known[:, end] = (choice >= 0) | (alone & known[:, end - 1])
-        out = []
-        for r, word in enumerate(words):
-            ids, at = [], size
-            while at:
-                n_chars = int(step[r, at])
-                if last[r, at] == -2:
-                    raw = word[at - 1].encode("utf-8", "surrogatepass")
-                    ids += [self.byte.get(b, 0) for b in reversed(raw)]
+        return self._paths(words, last, step)
+
+    def _paths(self, words: list[str], last: np.ndarray, step: np.ndarray) -> list[bytes]:
+        """Follow the backpointers of all words together."""
+        n, size = last.shape[0], last.shape[1] - 1
+        ids, count, at, rows = np.zeros((n, size), "<u4"), np.zeros(n, np.int64), np.full(n, size), np.arange(n)
+        odd = set(np.nonzero((last[:, 1:] == -2).any(axis=1))[0].tolist())
+        live = rows
+        while len(live):
+            ids[live, size - 1 - count[live]] = np.maximum(last[live, at[live]], 0)
+            count[live] += 1
+            at[live] -= step[live, at[live]]
+            live = live[at[live] > 0]
+        raw, width, first = ids.tobytes(), 4 * size, (size - count) * 4
+        out = [raw[r * width + f : (r + 1) * width] for r, f in enumerate(first.tolist())]
+        for r in odd:
+            path, k = [], size
+            while k:
+                if last[r, k] == -2:
+                    path += [self.byte.get(b, 0) for b in reversed(words[r][k - 1].encode("utf-8", "surrogatepass"))]
                 else:
-                    ids.append(int(last[r, at]))
-                at -= n_chars
-            out.append(ids[::-1])
+                    path.append(int(last[r, k]))
+                k -= int(step[r, k])
+            out[r] = np.asarray(path[::-1], "<u4").tobytes()
         return out
 
 
@@ -208,37 +236,61 @@ class Codec:
 
     def __init__(self, path: str):
         self.pieces, self.known = Pieces(path), {}
+        p = self.pieces
+        self.raw = [bytes([p.byte_of[i]]) if i in p.byte_of else b"" if i in p.special else t.replace(SPACE, " ").encode() for i, t in enumerate(p.text)]
         self.cut = re.compile(" *[^ \n]+| +|\n" if self.pieces.newline_splits else " *[^ ]+| +").findall
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.cut(" " + t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of new words (a leading space is the word's own)."""
         by_size: dict[int, list[str]] = {}
-        for word in set().union(*split).difference(self.known):
+        for word in words:
             by_size.setdefault(len(word), []).append(word)
-        for size, words in by_size.items():
+        for size, some in by_size.items():
             step = max(1, 200_000 // size)
-            for at in range(0, len(words), step):
-                some = words[at : at + step]
-                for word, ids in zip(some, self.pieces.viterbi([w.replace(" ", SPACE) for w in some]), strict=True):
-                    self.known[word] = np.asarray(ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                self.known.update(zip(part, self.pieces.viterbi([w.replace(" ", SPACE) for w in part]), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids (little-endian uint32) of each text (strings without null)."""
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        texts = texts.to_pylist()
+        out: list[bytes] = [b""] * len(texts)
+        even = [i for i, t in enumerate(texts) if t and "  " not in t and t[0] != " " and INNER not in t and self.pieces.newline_splits]
+        self._encode_even(even, texts, out)
+        rest = [i for i in sorted(set(range(len(texts))) - set(even)) if texts[i]]
+        split = [self.cut(" " + texts[i]) for i in rest]
+        self.learn(set().union(*split).difference(self.known))
+        for i, words in zip(rest, split, strict=True):
+            out[i] = b"".join(map(self.known.__getitem__, words))
+        return out
+
+    def _encode_even(self, even: list[int], texts: list[str], out: list[bytes]) -> None:
+        """Texts of words between single spaces and line ends: distinct words once per batch."""
+        if not even:
+            return
+        # A line end stands alone; what follows it directly is marked, since it has no space of its own.
+        rows = pc.replace_substring(pa.array([texts[i] for i in even], pa.string()), "\n", f" \n {INNER}")
+        split = pc.split_pattern(rows, " ")
+        words = split.flatten().dictionary_encode()
+        own = [w[1:] if w[:1] == INNER else w if w == "\n" else " " + w for w in words.dictionary.to_pylist()]
+        self.learn(set(own).difference(self.known, [""]))
+        coded = [self.known[w] if w else b"" for w in own]
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(coded), "<u4")
+        which = words.indices.to_numpy()
+        n = size[which]
+        ends = np.cumsum(n)
+        raw = pool[np.repeat(start[which] - (ends - n), n) + np.arange(n.sum())].tobytes()
+        bounds = (4 * np.r_[0, ends][split.offsets.to_numpy()]).tolist()
+        for k, i in enumerate(even):
+            out[i] = raw[bounds[k] : bounds[k + 1]]
 
     def decode(self, ids: bytes) -> str:
-        out, raw = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.pieces.byte_of:
-                raw.append(self.pieces.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append("" if i in self.pieces.special else self.pieces.text[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        """The text of ids: pieces and bytes in a row, without the first space."""
+        raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        text = raw.decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -260,8 +312,8 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec(path).encode(batch.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+        for batch in text_batches(batches, 6 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec(path).encode(batch.column(1)), pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return map_batches(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
