@@ -1,7 +1,380 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries over the star-schema tables and their DuckDB counterparts."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..api import FeatureCollection, FeatureDescriptor, FuncWrapper, Grouped, MultipleFeatureDescriptors, Series, SeriesPipeline, SeriesProcessor, SeriesSet, chunk_data, dataframe_func, make_robust, outer_merge, process_chunks
+from ..operators import processing as P
+
+FLAGSHIP = "time_hop_native"
 QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+ORACLES: dict[str, str] = {}
+H = 3_600_000_000
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("ts", "value")
+
+
+def kinds(spark, d, *names) -> SeriesSet:
+    return SeriesSet.of_long(table(spark, d, "events"), "ts", "value", "event_type", names)
+
+
+def renamed(df: DataFrame, digits: int = 6, **names: str) -> DataFrame:
+    """Short names for feature columns, floats rounded so that the order of sums does not show."""
+    out = df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+    return out.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+def grid_sql(window: int, strides: list[int], low: str = "min(ts)", high: str = "max(ts)", final: bool = False, source: str = "events") -> str:
+    """CTEs b (bounds) and g (window starts ws and ends we) of a grid in microseconds."""
+    extra = f"+ CASE WHEN t0 + {{s}} * (CASE WHEN t1-t0-{window} < 0 THEN 0 ELSE (t1-t0-{window})//{{s}} + 1 END) <= t1 THEN 1 ELSE 0 END" if final else ""
+    one = lambda s: f"SELECT t0 + i*{s} AS ws, t0 + i*{s} + {window} AS we FROM b, range(0, CASE WHEN t1-t0-{window} < 0 THEN 0 ELSE (t1-t0-{window})//{s} + 1 END {extra.format(s=s)}) r(i)"
+    return f"b AS (SELECT epoch_us({low}) t0, epoch_us({high}) t1 FROM {source}), g AS ({' UNION '.join(map(one, strides))})"
+
+
+def hop_sql(select: str, window: int, strides: list[int], idx: str = "we", final: bool = False, source: str = "events", join: str = "") -> str:
+    return f"WITH {grid_sql(window, strides, final=final)} SELECT make_timestamp(({idx})::BIGINT) AS ts, {select} FROM g LEFT JOIN {source} e ON epoch_us(e.ts) >= ws AND epoch_us(e.ts) < we {join} GROUP BY ws, we"
+
+
+BASIC = "count(e.value) AS n, round(coalesce(sum(e.value), 0), 6) AS total, coalesce(round(avg(e.value), 6), 'nan'::DOUBLE) AS average, coalesce(round(stddev_pop(e.value), 6), 'nan'::DOUBLE) AS sd"
+BASIC_NAMES = {"n": "len", "total": "sum", "average": "mean", "sd": "std"}
+
+
+def basic(spark, d, window, stride, **kwargs) -> DataFrame:
+    fc = FeatureCollection(MultipleFeatureDescriptors(["len", "sum", "mean", "std"], "value", window, stride))
+    out = fc.calculate(events(spark, d), return_df=True, **kwargs)
+    suffix = next(c for c in out.columns if "__w=" in c).split("__w=")[1]
+    return renamed(out, ts="ts", **{k: f"value__{v}__w={suffix}" for k, v in BASIC_NAMES.items()})
+
+
+@query(hop_sql(BASIC, H, [H // 4]))
+def time_hop_native(spark, d):
+    return basic(spark, d, "1h", "15min")
+
+
+@query(hop_sql(BASIC, H, [H]))
+def time_tumble(spark, d):
+    return basic(spark, d, "1h", "1h")
+
+
+@query(hop_sql(BASIC, H, [3 * H]))
+def stride_over_window(spark, d):
+    return basic(spark, d, "1h", "3h")
+
+
+@query(hop_sql(BASIC, 3 * H, [2 * H, 5 * H]))
+def multi_stride_union(spark, d):
+    return basic(spark, d, "3h", ["2h", "5h"])
+
+
+@query(hop_sql(BASIC, 24 * H, [24 * H], final=True))
+def include_final_window(spark, d):
+    return basic(spark, d, "1D", "1D", include_final_window=True)
+
+
+@query(hop_sql(BASIC, 2 * H, [H], idx="ws"))
+def window_idx_begin(spark, d):
+    return basic(spark, d, "2h", "1h", window_idx="begin")
+
+
+@query(hop_sql(BASIC, 2 * H, [H], idx="ws + (we - ws) // 2"))
+def window_idx_middle(spark, d):
+    return basic(spark, d, "2h", "1h", window_idx="middle")
+
+
+def bounds_query(method: str, low: str, high: str):
+    def run(spark, d):
+        fc = FeatureCollection([FeatureDescriptor("sum", "click", "6h", "3h"), FeatureDescriptor("max", "error", "6h", "3h")])
+        out = fc.calculate(kinds(spark, d, "click", "error"), return_df=True, bound_method=method)
+        return renamed(out, ts="ts", click_sum="click__sum__w=6h", error_max="error__max__w=6h")
+
+    run.__name__ = f"bounds_{method.replace('-', '_')}"
+    two = "(SELECT min(ts) AS lo, max(ts) AS hi FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type)"
+    each = "LEFT JOIN (SELECT ws, round(sum(value), 6) AS click_sum FROM g JOIN events e ON epoch_us(ts) >= ws AND epoch_us(ts) < we AND event_type = 'click' GROUP BY ws) c USING (ws) LEFT JOIN (SELECT ws, round(max(value), 6) AS error_max FROM g JOIN events e ON epoch_us(ts) >= ws AND epoch_us(ts) < we AND event_type = 'error' GROUP BY ws) x USING (ws)"
+    query(f"WITH {grid_sql(6 * H, [3 * H], low, high, source=two)} SELECT make_timestamp(we) AS ts, coalesce(click_sum, 0) AS click_sum, coalesce(error_max, 'nan'::DOUBLE) AS error_max FROM g {each}")(run)
+
+
+bounds_query("inner", "max(lo)", "min(hi)")
+bounds_query("inner-outer", "max(lo)", "max(hi)")
+bounds_query("outer", "min(lo)", "max(hi)")
+
+
+@query(
+    "WITH b AS (SELECT min(event_id) t0, max(event_id) t1 FROM events), g AS (SELECT t0 + i*50 AS ws, t0 + i*50 + 200 AS we FROM b, range(0, CASE WHEN t1-t0-200 < 0 THEN 0 ELSE (t1-t0-200)//50 + 1 END) r(i)) "
+    "SELECT we AS event_id, count(value) AS n, round(coalesce(sum(value), 0), 6) AS total FROM g LEFT JOIN events ON event_id >= ws AND event_id < we GROUP BY we"
+)
+def sequence_index(spark, d):
+    fc = FeatureCollection(MultipleFeatureDescriptors(["len", "sum"], "value", 200, 50))
+    out = fc.calculate(table(spark, d, "events").select("event_id", "value"), return_df=True, index="event_id")
+    return renamed(out, event_id="event_id", n="value__len__w=200", total="value__sum__w=200")
+
+
+@query(
+    "WITH b AS (SELECT min(event_id) / 4.0 t0, max(event_id) / 4.0 t1 FROM events), g AS (SELECT t0 + i*12.5 AS ws FROM b, range(0, floor((t1-t0-50)/12.5)::BIGINT + 1) r(i)) "
+    "SELECT round(ws, 6) AS place, count(value) AS n, round(max(value), 6) AS top FROM g LEFT JOIN events ON event_id / 4.0 >= ws AND event_id / 4.0 < ws + 50 GROUP BY ws"
+)
+def float_index(spark, d):
+    df = table(spark, d, "events").select((F.col("event_id") / 4.0).alias("place"), "value")
+    fc = FeatureCollection(MultipleFeatureDescriptors(["len", "max"], "value", 50.0, 12.5))
+    out = fc.calculate(df, return_df=True, index="place", window_idx="begin")
+    return renamed(out, place="place", n="value__len__w=50.0", top="value__max__w=50.0")
+
+
+@query(
+    "WITH p AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS k FROM events), g AS (SELECT i*40 AS ws FROM (SELECT max(k) m FROM p), range(0, CASE WHEN m-100 < 0 THEN 0 ELSE (m-100)//40 + 1 END) r(i)) "
+    "SELECT (SELECT ts FROM p WHERE k = ws) AS ts, round(avg(value), 6) AS average, count(value) AS n FROM g JOIN p ON k >= ws AND k < ws + 100 GROUP BY ws"
+)
+def sample_windows(spark, d):
+    fc = FeatureCollection(MultipleFeatureDescriptors(["mean", "len"], "value", 100, 40))
+    out = fc.calculate(events(spark, d), return_df=True, window_idx="begin")
+    return renamed(out, ts="ts", average="value__mean__w=100", n="value__len__w=100")
+
+
+SEGMENTS = [("2024-01-03", "2024-01-05"), ("2024-01-01", "2024-01-02"), ("2024-01-04", "2024-01-10"), ("2024-01-01", "2024-01-02"), ("2025-01-01", "2025-01-02")]
+
+
+def segment_values(i: int) -> list:
+    return [pd.Timestamp(s[i]) for s in SEGMENTS]
+
+
+def segments_sql(rows: list[tuple[str, str]], shown: str) -> str:
+    values = ", ".join(f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for i, (a, b) in enumerate(rows))
+    return f"SELECT i AS segment, {shown} AS ts, {BASIC} FROM (VALUES {values}) s(i, a, b) LEFT JOIN events e ON e.ts >= a AND e.ts < b GROUP BY i, a, b"
+
+
+def segmented(spark, d, window, **kwargs) -> DataFrame:
+    fc = FeatureCollection(MultipleFeatureDescriptors(["len", "sum", "mean", "std"], "value", window))
+    out = fc.calculate(events(spark, d), return_df=True, **kwargs)
+    suffix = next(c for c in out.columns if "__w=" in c).split("__w=")[1]
+    return renamed(out.withColumn("segment", F.col("segment").cast("int")), segment="segment", ts="ts", **{k: f"value__{v}__w={suffix}" for k, v in BASIC_NAMES.items()})
+
+
+@query(segments_sql(SEGMENTS, "b"))
+def segments_both(spark, d):
+    return segmented(spark, d, None, segment_start_idxs=segment_values(0), segment_end_idxs=segment_values(1))
+
+
+def _plus(day: str, hours: int) -> str:
+    return str(pd.Timestamp(day) + pd.Timedelta(hours=hours))
+
+
+@query(segments_sql([(a, _plus(a, 12)) for a, _ in SEGMENTS], "b"))
+def segments_start(spark, d):
+    return segmented(spark, d, "12h", segment_start_idxs=segment_values(0))
+
+
+@query(segments_sql([(_plus(b, -12), b) for _, b in SEGMENTS], "b"))
+def segments_end(spark, d):
+    return segmented(spark, d, "12h", segment_end_idxs=segment_values(1))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 4) AS total, round(avg(l_extendedprice), 4) AS average, count(*) AS n FROM lineitem GROUP BY 1")
+def group_by_all(spark, d):
+    df = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag")
+    fc = FeatureCollection([FeatureDescriptor("sum", "l_quantity"), FeatureDescriptor("mean", "l_extendedprice"), FeatureDescriptor("len", "l_quantity")])
+    out = fc.calculate(df, return_df=True, group_by_all="l_returnflag", index="l_shipdate")
+    return renamed(out, 4, l_returnflag="l_returnflag", total="l_quantity__sum__w=manual", average="l_extendedprice__mean__w=manual", n="l_quantity__len__w=manual")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(median(l_quantity), 4) AS middle, round(max(l_extendedprice), 4) AS top FROM lineitem GROUP BY 1, 2")
+def group_by_columns(spark, d):
+    df = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    fc = FeatureCollection([FeatureDescriptor("median", "l_quantity"), FeatureDescriptor("max", "l_extendedprice")])
+    out = fc.calculate(Grouped(df, ("l_returnflag", "l_linestatus")), return_df=True, index="l_shipdate")
+    return renamed(out, l_returnflag="l_returnflag", l_linestatus="l_linestatus", middle="l_quantity__median__w=manual", top="l_extendedprice__max__w=manual")
+
+
+@query(
+    "WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS kind FROM events), a AS (SELECT *, lag(kind) OVER (ORDER BY ts) IS DISTINCT FROM kind AS fresh FROM e WHERE kind IS NOT NULL), "
+    "m AS (SELECT e.ts, e.value, e.kind, sum(coalesce(a.fresh, FALSE)::INT) OVER (ORDER BY e.ts) AS run FROM e LEFT JOIN a ON e.ts = a.ts) "
+    "SELECT min(kind) AS kind, min(ts) FILTER (kind IS NOT NULL) AS run_start, max(ts) FILTER (kind IS NOT NULL) AS run_end, round(sum(value), 6) AS total, count(*) AS n FROM m WHERE run > 0 GROUP BY run"
+)
+def group_by_consecutive(spark, d):
+    df = table(spark, d, "events").select("ts", "value", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"))
+    fc = FeatureCollection([FeatureDescriptor("sum", "value"), FeatureDescriptor("len", "value")])
+    out = fc.calculate(df, return_df=True, group_by_consecutive="kind", index="ts")
+    return renamed(out, kind="kind", run_start="__start", run_end="__end", total="value__sum__w=manual", n="value__len__w=manual")
+
+
+@query(hop_sql("round(quantile_cont(e.value, 0.25), 6) AS q25, round(quantile_cont(e.value, 0.5), 6) AS q50, round(quantile_cont(e.value, 0.9), 6) AS q90", 12 * H, [6 * H]))
+def quantiles(spark, d):
+    fc = FeatureCollection(FeatureDescriptor(FuncWrapper("quantile", ["q25", "q50", "q90"], q=[0.25, 0.5, 0.9]), "value", "12h", "6h"))
+    return renamed(fc.calculate(events(spark, d), return_df=True), ts="ts", **{q: f"value__{q}__w=12h" for q in ("q25", "q50", "q90")})
+
+
+@query(
+    hop_sql(
+        "round((avg(e.value**3) - 3*avg(e.value)*avg(e.value**2) + 2*avg(e.value)**3) / stddev_pop(e.value)**3, 4) AS skewed, round(kurtosis_pop(e.value), 4) AS heavy, round(sqrt(avg(e.value*e.value)), 4) AS rms",
+        24 * H,
+        [12 * H],
+    )
+)
+def skew_kurtosis_rms(spark, d):
+    fc = FeatureCollection(MultipleFeatureDescriptors(["skew", "kurtosis", "rms"], "value", "1D", "12h"))
+    return renamed(fc.calculate(events(spark, d), return_df=True), 4, ts="ts", skewed="value__skew__w=1D", heavy="value__kurtosis__w=1D", rms="value__rms__w=1D")
+
+
+@query(hop_sql("count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors", 6 * H, [6 * H]))
+def category_counts(spark, d):
+    fc = FeatureCollection(FeatureDescriptor(FuncWrapper("category_counts", ["clicks", "errors"], categories=["click", "error"]), "event_type", "6h", "6h"))
+    out = fc.calculate(table(spark, d, "events").select("ts", "event_type"), return_df=True)
+    return renamed(out, ts="ts", clicks="event_type__clicks__w=6h", errors="event_type__errors__w=6h")
+
+
+@query(hop_sql("round(regr_slope(e.value, epoch_us(e.ts) / 3.6e9 - (SELECT t0 FROM b) / 3.6e9), 5) AS slope, round(corr(e.value, epoch_us(e.ts) / 3.6e9 - (SELECT t0 FROM b) / 3.6e9), 5) AS r", 24 * H, [24 * H]))
+def linear_trend(spark, d):
+    fc = FeatureCollection(FeatureDescriptor("trend", "value", "1D", "1D"))
+    return renamed(fc.calculate(events(spark, d), return_df=True), 5, ts="ts", slope="value__slope__w=1D", r="value__rvalue__w=1D")
+
+
+@query(hop_sql("round(corr(e.value, (e.user_id % 7)::DOUBLE), 4) AS r, round(sum(e.value * (e.user_id % 7)), 4) AS dot", 24 * H, [12 * H]))
+def two_series(spark, d):
+    df = table(spark, d, "events").select("ts", "value", (F.col("user_id") % 7).cast("double").alias("user"))
+    fc = FeatureCollection([FeatureDescriptor("corr", ("value", "user"), "1D", "12h"), FeatureDescriptor("dot", ("value", "user"), "1D", "12h")])
+    return renamed(fc.calculate(df, return_df=True, index="ts"), 4, ts="ts", r="value|user__corr__w=1D", dot="value|user__dot__w=1D")
+
+
+@query(
+    f"WITH {grid_sql(6 * H, [6 * H])}, m AS (SELECT we, e.ts, e.value, e.value - lag(e.value) OVER (PARTITION BY we ORDER BY e.ts) AS dv, epoch_us(e.ts) - lag(epoch_us(e.ts)) OVER (PARTITION BY we ORDER BY e.ts) AS dt FROM g LEFT JOIN events e ON epoch_us(e.ts) >= ws AND epoch_us(e.ts) < we) "
+    "SELECT make_timestamp(we) AS ts, round(avg(abs(dv)), 6) AS mean_abs_diff, round(coalesce(sum(abs(dv)), 0), 6) AS path, round(max(dt) / 1e6, 6) AS longest_step, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS span FROM m GROUP BY we"
+)
+def ordered_features(spark, d):
+    fc = FeatureCollection(MultipleFeatureDescriptors(["mean_abs_diff", "sum_abs_diff", "max_time_diff", "time_span"], "value", "6h", "6h"))
+    names = {"mean_abs_diff": "mean_abs_diff", "path": "sum_abs_diff", "longest_step": "max_time_diff", "span": "time_span"}
+    return renamed(fc.calculate(events(spark, d), return_df=True), ts="ts", **{k: f"value__{v}__w=6h" for k, v in names.items()})
+
+
+@query(hop_sql("CASE WHEN count(e.value) >= 14 THEN round(min(e.value), 6) ELSE -1 END AS least", H, [H]))
+def robust_min_samples(spark, d):
+    fc = FeatureCollection(FeatureDescriptor(make_robust("min", min_nb_samples=14, error_val=-1.0), "value", "1h", "1h"))
+    return renamed(fc.calculate(events(spark, d), return_df=True), ts="ts", least="value__min__w=1h")
+
+
+@query(
+    hop_sql("CASE WHEN count(CASE WHEN e.event_type = 'error' THEN 1 END) > 0 OR count(e.ts) = 0 THEN 'nan'::DOUBLE ELSE round(min(e.value), 6) END AS strict_min, round(coalesce(sum(CASE WHEN e.event_type != 'error' THEN e.value END), 0), 6) AS nan_sum", H, [H])
+)
+def nan_policy(spark, d):
+    df = table(spark, d, "events").select("ts", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value")).alias("value"))
+    fc = FeatureCollection(MultipleFeatureDescriptors(["min", "nansum"], "value", "1h", "1h"))
+    return renamed(fc.calculate(df, return_df=True), ts="ts", strict_min="value__min__w=1h", nan_sum="value__nansum__w=1h")
+
+
+@query(
+    f"WITH k AS (SELECT user_id % 5 AS entity, epoch_us(ts) AS t, value FROM events), b AS (SELECT entity, min(t) t0, max(t) t1 FROM k GROUP BY 1), g AS (SELECT entity, t0 + i*{6 * H} AS ws FROM b, range(0, (t1-t0-{24 * H})//{6 * H} + 1) r(i)) "
+    f"SELECT g.entity, make_timestamp(ws + {24 * H}) AS ts, count(value) AS n, round(coalesce(sum(value), 0), 6) AS total FROM g LEFT JOIN k ON k.entity = g.entity AND t >= ws AND t < ws + {24 * H} GROUP BY g.entity, ws"
+)
+def keyed_hop(spark, d):
+    df = table(spark, d, "events").select((F.col("user_id") % 5).alias("entity"), "ts", "value")
+    fc = FeatureCollection(MultipleFeatureDescriptors(["len", "sum"], "value", "1D", "6h"))
+    out = fc.calculate(df, return_df=True, index="ts", keys=["entity"])
+    return renamed(out, entity="entity", ts="ts", n="value__len__w=1D", total="value__sum__w=1D")
+
+
+@query(hop_sql("round(coalesce(sum(e.value), 0), 6) AS total, round(coalesce(max(e.value) - min(e.value), 0), 6) AS spread", 12 * H, [12 * H]))
+def python_features(spark, d):
+    def spread(x):
+        return float(x.max() - x.min()) if len(x) else 0.0
+
+    fc = FeatureCollection([FeatureDescriptor(FuncWrapper(spread), "value", "12h", "12h"), FeatureDescriptor(FuncWrapper(lambda x: float(np.sum(x)), "total"), "value", "12h", "12h")])
+    return renamed(fc.calculate(events(spark, d), return_df=True), ts="ts", total="value__total__w=12h", spread="value__spread__w=12h")
+
+
+@query("SELECT coalesce(a.ts, b.ts) AS ts, a.value AS click, b.value AS error FROM (SELECT * FROM events WHERE event_type = 'click') a FULL JOIN (SELECT * FROM events WHERE event_type = 'error') b ON a.ts = b.ts")
+def outer_merge_series(spark, d):
+    return outer_merge(list(kinds(spark, d, "click", "error").values()))
+
+
+def pipeline_query(name: str, steps, sql: str):
+    def run(spark, d):
+        out = SeriesPipeline([SeriesProcessor(f, "value", **kw) for f, kw in steps]).process(events(spark, d), return_df=True)
+        return out.select("ts", F.round("value", 6).alias("value"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+pipeline_query("process_clip_abs", [(P.clip, {"low": 10.0, "high": 90.0}), (P.shift_by, {"offset": -50.0}), (P.absolute, {})], "SELECT ts, round(abs(least(greatest(value, 10.0), 90.0) - 50.0), 6) AS value FROM events")
+pipeline_query("process_zscore", [(P.zscore, {})], "SELECT ts, round((value - (SELECT avg(value) FROM events)) / (SELECT stddev_pop(value) FROM events), 6) AS value FROM events")
+pipeline_query("process_quantile_clip", [(P.quantile_clip, {"low": 0.05, "high": 0.95})], "SELECT ts, round(least(greatest(value, (SELECT quantile_cont(value, 0.05) FROM events)), (SELECT quantile_cont(value, 0.95) FROM events)), 6) AS value FROM events")
+pipeline_query("process_difference", [(P.difference, {})], "SELECT ts, round(value - lag(value) OVER (ORDER BY ts), 6) AS value FROM events")
+pipeline_query("process_median_filter", [(P.median_filter, {"size": 5})], "SELECT ts, round(median(value) OVER (ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS value FROM events")
+pipeline_query("process_rolling_mean", [(P.rolling_mean, {"window": "15min"})], "SELECT ts, round(avg(value) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 899999999 PRECEDING AND CURRENT ROW), 6) AS value FROM events")
+pipeline_query("process_threshold_dropna", [(P.threshold, {"least": 30.0}), (P.drop_na, {})], "SELECT ts, round(value, 6) AS value FROM events WHERE value >= 30.0")
+pipeline_query(
+    "process_interpolate",
+    [(P.threshold, {"least": 30.0}), (P.interpolate, {})],
+    "WITH k AS (SELECT ts, epoch_us(ts) AS t, CASE WHEN value >= 30.0 THEN value END AS v FROM events), n AS (SELECT ts, t, v, last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER p AS pt, last_value(v IGNORE NULLS) OVER p AS pv, "
+    "first_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) OVER f AS nt, first_value(v IGNORE NULLS) OVER f AS nv FROM k WINDOW p AS (ORDER BY t ROWS UNBOUNDED PRECEDING), f AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT ts, round(CASE WHEN v IS NOT NULL THEN v WHEN nt IS NULL THEN pv ELSE pv + (nv - pv) * ((t - pt) / (nt - pt)) END, 6) AS value FROM n",
+)
+pipeline_query(
+    "process_detrend",
+    [(P.detrend, {})],
+    "WITH s AS (SELECT avg(value) mv, avg((epoch_us(ts) - 1704067200000000)::DOUBLE) mt, regr_slope(value, (epoch_us(ts) - 1704067200000000)::DOUBLE) a FROM events) SELECT ts, round(value - mv - a * (epoch_us(ts) - 1704067200000000 - mt), 6) AS value FROM events, s",
+)
+
+
+@query("SELECT ts, round(sqrt(value*value + (user_id % 7)*(user_id % 7)), 6) AS smv FROM events WHERE value >= 20")
+def process_dataframe_func(spark, d):
+    df = table(spark, d, "events").select("ts", "value", (F.col("user_id") % 7).cast("double").alias("user"))
+
+    @dataframe_func
+    def kept(frame):
+        return frame.where("value >= 20")
+
+    pipe = SeriesPipeline([SeriesProcessor(kept, ("value", "user")), SeriesProcessor(P.magnitude, ("value", "user"), name="smv")])
+    out = pipe.process(SeriesSet.of(df, "ts"), return_df=True, return_all_series=False, drop_keys=["value", "user"])
+    return out.select("ts", F.round("smv", 6).alias("smv"))
+
+
+CHUNK_FS = 1 / 120  # a gap is a step of over three minutes
+RUNS_SQL = "WITH p AS (SELECT ts, value, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS step, max(epoch_us(ts)) OVER () AS z FROM events), r AS (SELECT *, sum(CASE WHEN step > 180000000 AND t < z THEN 1 ELSE 0 END) OVER (ORDER BY ts) AS run FROM p), m AS (SELECT run, min(t) b, max(t) e, count(*) n FROM r GROUP BY run HAVING count(*) > 2)"
+
+
+@query(RUNS_SQL + ", c AS (SELECT *, row_number() OVER (ORDER BY b) - 1 AS chunk_id FROM m) SELECT chunk_id, make_timestamp(min(t)) AS first_ts, make_timestamp(max(t)) AS last_ts, count(*) AS n, round(sum(value), 6) AS total FROM r JOIN c USING (run) GROUP BY chunk_id")
+def gap_chunks(spark, d):
+    out = chunk_data(events(spark, d), {"value": CHUNK_FS}, chunk_range_margin=1e-6)
+    return out.groupBy("chunk_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(
+    RUNS_SQL
+    + ", s AS (SELECT run, CASE WHEN n * 120 > 3600 THEN greatest(b, b + k * 3600000000 - 30000000) ELSE b END AS b2, CASE WHEN n * 120 > 3600 THEN least(e, b + (k + 1) * 3600000000 + 30000000) ELSE e END AS e2 FROM m, range(0, CASE WHEN n * 120 > 3600 THEN (e - b - 1) // 3600000000 + 1 ELSE 1 END) q(k) WHERE n * 120 >= 600) "
+    "SELECT make_timestamp(b2) AS range_start, count(*) AS n, round(sum(value), 6) AS total FROM s JOIN r ON r.run = s.run AND t BETWEEN b2 AND e2 GROUP BY s.run, b2, e2"
+)
+def sub_chunks(spark, d):
+    out = chunk_data(events(spark, d), {"value": CHUNK_FS}, chunk_range_margin=1e-6, min_chunk_dur="10min", max_chunk_dur="1h", sub_chunk_overlap="1min")
+    # A sub-chunk's range starts where it was cut, which need not be at a sample; the first sample shows it up to that.
+    return out.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("ts").alias("first_ts"))
+
+
+ORACLES["sub_chunks"] = ORACLES["sub_chunks"].replace("SELECT make_timestamp(b2) AS range_start, count(*)", "SELECT row_number() OVER (ORDER BY b2, e2) - 1 AS chunk_id, make_timestamp(min(t)) AS first_ts, count(*)")
+
+
+@query(RUNS_SQL + ", c AS (SELECT *, row_number() OVER (ORDER BY b) - 1 AS chunk_id FROM m) SELECT chunk_id, round(max(value) - min(value), 6) AS spread FROM r JOIN c USING (run) GROUP BY chunk_id")
+def chunk_parallel(spark, d):
+    from pyspark.sql import types as T
+
+    chunks = chunk_data(events(spark, d), {"value": CHUNK_FS}, chunk_range_margin=1e-6)
+    schema = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("spread", T.DoubleType())])
+    return process_chunks(chunks, lambda pdf: pd.DataFrame({"chunk_id": [pdf.chunk_id.iloc[0]], "spread": [round(float(pdf.value.max() - pdf.value.min()), 6)]}), schema)
+
