@@ -6,8 +6,10 @@
    record, so equal windows lie in records of equal anchors, wherever they are.
 3. Records meet by anchor: equal records have one owner, the smallest id; all
    others' windows are repeats.  What is left to find is windows that an owner
-   shares with *another* record of its anchor.
-4. Owners of anchors with several records send their bytes to the anchor's
+   shares with *another* record of its anchor.  Such a window reaches ``SIDE``
+   bytes beyond the anchor on one side at least, so it can only be there if the
+   records agree in those bytes (a digest of 16 bits each tells).
+4. Owners that may share a window with another record send their bytes to the anchor's
    shard, where a suffix array by external induced sorting brings equal windows
    together and the smallest id of each is found.
 5. Every block applies the answers to its documents.
@@ -33,12 +35,15 @@ from .shared import map_batches, materialize, text_batches, text_of
 from .suffix_sort import same_window, suffix_order, words_of
 
 WIDTH, GRAM = 50, 16
-BLOCK_BYTES = 4 << 20
+SIDE = (WIDTH - GRAM) // 2
+BLOCK_BYTES = 2 << 20
 #: Records that one task compares, about; of 18 windows on average each.
 BUCKET_RECORDS = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-ENTRY = np.dtype([("anchor", "<u8"), ("record", "<u8"), ("least", "<i8")])
+ENTRY = np.dtype([("anchor", "<u8"), ("record", "<u8"), ("left", "<u2"), ("right", "<u2"), ("least", "<i8")])
+#: Digests of a side: no window reaches that far; the anchor occurs more than once, so anything may match.
+NOWHERE, ANYWHERE = 0, 1
 
 
 def _table() -> np.ndarray:
@@ -86,9 +91,11 @@ class Records:
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.doc = empty
         self.anchor = self.digest = np.zeros(0, np.uint64)
+        self.left = self.right = np.zeros(0, np.uint16)
         if n < width:
             return
-        anchor = sliding_min(gram_hashes(data), width - GRAM + 1)
+        grams = gram_hashes(data)
+        anchor = sliding_min(grams, width - GRAM + 1)
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
         inside = np.arange(len(anchor)) + width <= bounds[1:][owner]
         new = np.ones(len(anchor), bool)
@@ -101,20 +108,36 @@ class Records:
         up, down = powers(n + 1)
         with np.errstate(over="ignore"):
             sums = np.r_[np.uint64(0), np.cumsum(TABLE[data] * up[:n], dtype=np.uint64)]
-            digest = (sums[self.last + width] - sums[self.first]) * down[self.first]
-            digest = (digest ^ (digest >> np.uint64(32))) * MULTIPLIER + (self.last - self.first).astype(np.uint64)
-        self.digest = digest ^ (digest >> np.uint64(31))
+
+        def digest(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                d = (sums[end] - sums[start]) * down[start]
+                d = (d ^ (d >> np.uint64(32))) * MULTIPLIER + (end - start).astype(np.uint64)
+            return d ^ (d >> np.uint64(31))
+
+        self.digest = digest(self.first, self.last + width)
+        # Places of the anchor's gram: its first one in the record, and how many there are.
+        spread = np.r_[0, np.cumsum(self.last - self.first + width - GRAM + 1)]
+        at = np.arange(spread[-1]) + np.repeat(self.first - spread[:-1], np.diff(spread))
+        hit = grams[at] == np.repeat(self.anchor, np.diff(spread))
+        times = np.add.reduceat(hit, spread[:-1], dtype=np.int64) if len(at) else empty
+        place = at[hit][np.cumsum(times) - times]
+        side = lambda there, start, end: np.where(times > 1, ANYWHERE, np.where(there, digest(np.where(there, start, 0), np.where(there, end, 0)) % np.uint64(65_534) + np.uint64(2), NOWHERE)).astype(np.uint16)
+        self.left = side(self.first <= place - SIDE, place - SIDE, place)
+        self.right = side(self.last >= place - SIDE, place + GRAM, place + GRAM + SIDE)
 
     def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (anchor, digest) with the least id, and each record's number among them."""
-        order = np.lexsort((ids[self.doc], self.digest, self.anchor))
-        a, d = self.anchor[order], self.digest[order]
+        order = np.lexsort((ids[self.doc], self.digest))  # the digest covers the anchor
+        d = self.digest[order]
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        new[1:] = d[1:] != d[:-1]
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
-        out = np.zeros(int(new.sum()), ENTRY)
-        out["anchor"], out["record"], out["least"] = a[new], d[new], ids[self.doc][order][new]
+        self.stands = order[new]  # the record that stands for an entry: the first one of the least id
+        out = np.zeros(len(self.stands), ENTRY)
+        for name, values in (("anchor", self.anchor), ("record", self.digest), ("left", self.left), ("right", self.right), ("least", ids[self.doc])):
+            out[name] = values[self.stands]
         return out, number
 
 
@@ -124,24 +147,41 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
         return (((anchor * MULTIPLIER) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+#: Bytes of anchors and digests that decide.
+CUT = 6
+
+
 def pack_entries(e: np.ndarray) -> bytes:
-    """Entries, column after column: 6 bytes of the anchor and 6 of the digest decide, ids as steps."""
-    cut = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return cut(e["anchor"]) + cut(e["record"]) + e["least"].tobytes()
+    """Entries, column after column."""
+    cut = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :CUT].tobytes()
+    return cut(e["anchor"]) + cut(e["record"]) + e["left"].tobytes() + e["right"].tobytes() + e["least"].tobytes()
 
 
 def unpack_entries(raw: bytes) -> np.ndarray:
-    n = len(raw) // 20
-    out, wide = np.zeros(n, ENTRY), np.zeros((n, 8), np.uint8)
-    for k, name in enumerate(("anchor", "record")):
-        wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 6 * n * k).reshape(n, 6)
+    n = len(raw) // (2 * CUT + 12)
+    out, wide, at = np.zeros(n, ENTRY), np.zeros((n, 8), np.uint8), 0
+    for name in ("anchor", "record"):
+        wide[:, :CUT] = np.frombuffer(raw, np.uint8, CUT * n, at).reshape(n, CUT)
         out[name] = wide.view("<u8").ravel()
-    out["least"] = np.frombuffer(raw, "<i8", n, 12 * n)
+        at += CUT * n
+    for name, kind, size in (("left", "<u2", 2), ("right", "<u2", 2), ("least", "<i8", 8)):
+        out[name] = np.frombuffer(raw, kind, n, at)
+        at += size * n
     return out
 
 
+def agreeing(group: np.ndarray, side: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Whether another record of the anchor has the same digest of a side."""
+    keys = group * 65_536 + side
+    order = np.argsort(keys, kind="stable")
+    new = np.r_[True, np.diff(keys[order]) != 0]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return (np.bincount(number, fresh)[number] > 1) & (side != NOWHERE)
+
+
 def meet(blobs: list[bytes]) -> list[bytes]:
-    """For each block's entries of a bucket two bits: is the block the owner, has the anchor several records."""
+    """For each block's entries of a bucket two bits: is the block the owner, may another record share a window."""
     parts = [unpack_entries(b) for b in blobs]
     e = np.concatenate(parts)
     source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -154,6 +194,8 @@ def meet(blobs: list[bytes]) -> list[bytes]:
     least = s["least"][np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))]
     group = np.cumsum(fresh_anchor) - 1
     several = np.bincount(group, fresh)[group] > 1
+    open_ended = np.bincount(group, s["left"] == ANYWHERE)[group] > 0
+    several &= open_ended | agreeing(group, s["left"].astype(np.int64), fresh) | agreeing(group, s["right"].astype(np.int64), fresh)
     own, many = np.empty(len(s), bool), np.empty(len(s), bool)
     own[order], many[order] = s["least"] == least, several
     cuts = np.cumsum([len(p) for p in parts])[:-1]
@@ -245,12 +287,6 @@ class Block:
         for bucket, which in self.split(buckets):
             got = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: 2 * len(which)].astype(bool)
             self.own[which], self.many[which] = got[: len(which)], got[len(which) :]
-        # The record that stands for an entry: its first one of the least id.
-        r = self.records
-        order = np.lexsort((r.first, self.ids[r.doc], self.number))
-        first = np.r_[True, np.diff(self.number[order]) != 0] if len(order) else np.zeros(0, bool)
-        self.stands = order[first]
-
     def asking(self, buckets: int):
         """(bucket, entry numbers) whose bytes go to the bucket's shard."""
         ask = self.own & self.many
@@ -260,7 +296,7 @@ class Block:
                 yield bucket, which
 
     def bytes_of(self, entry: int) -> bytes:
-        r = self.stands[entry]
+        r = self.records.stands[entry]
         return self.raw[self.records.first[r] : self.records.last[r] + WIDTH]
 
 
@@ -347,7 +383,7 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
     found = {x["bucket"]: x["bits"] for x in row["found"] or []}
     windows: dict[int, np.ndarray] = {}
     for bucket, which in b.asking(buckets):
-        size = (r.last - r.first)[b.stands[which]] + 1
+        size = (r.last - r.first)[r.stands[which]] + 1
         bits = np.unpackbits(np.frombuffer(found[bucket], np.uint8))[: int(size.sum())].astype(bool)
         for e, mine in zip(which.tolist(), np.split(bits, np.cumsum(size)[:-1]), strict=True):
             if mine.any():
