@@ -45,16 +45,31 @@ class Queues:
         block = self.blocks[code][number]
         return np.load(block) if isinstance(block, str) else block
 
+    def joined(self, code: int, start: int) -> tuple[np.ndarray, int]:
+        """The blocks from one on together, as far as they make ``BLOCK`` items, and the number after them."""
+        parts, size, k = [], 0, start
+        while k < len(self.blocks[code]) and (not parts or size < BLOCK):
+            parts.append(self.read(code, k))
+            size += len(parts[-1])
+            k += 1
+        return parts[0] if len(parts) == 1 else np.concatenate(parts), k
+
     def all(self, code: int, backwards: bool = False):
-        """The blocks of a queue, also those that are appended meanwhile."""
+        """The items of a queue in large blocks, also those that are appended meanwhile."""
         if backwards:
-            for k in range(len(self.blocks[code]) - 1, -1, -1):
-                yield self.read(code, k)[::-1]
+            k = len(self.blocks[code])
+            while k:
+                parts, size = [], 0
+                while k and (not parts or size < BLOCK):
+                    k -= 1
+                    parts.append(self.read(code, k)[::-1])
+                    size += len(parts[-1])
+                yield parts[0] if len(parts) == 1 else np.concatenate(parts)
             return
         k = 0
         while k < len(self.blocks[code]):
-            yield self.read(code, k)
-            k += 1
+            block, k = self.joined(code, k)
+            yield block
 
     def scatter(self, codes: np.ndarray, items: np.ndarray) -> None:
         """Append items to their queues, in order."""
@@ -111,10 +126,18 @@ def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, memory: int) -
 
 
 def ordered(low: Queues, high: Queues):
-    """The induced order, in blocks."""
+    """The induced order, in large blocks."""
+    parts, size = [], 0
     for code in range(CODES):
-        yield from low.all(code)
-        yield from high.all(code, backwards=True)
+        for queue, backwards in ((low, False), (high, True)):
+            for block in queue.all(code, backwards):
+                parts.append(block)
+                size += len(block)
+                if size >= BLOCK:
+                    yield np.concatenate(parts)
+                    parts, size = [], 0
+    if parts:
+        yield np.concatenate(parts)
 
 
 def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY):
