@@ -86,7 +86,7 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
 class Records:
     """Records of a block: first and last window, anchor, digest, and the document each is in."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, sides: bool = True):
         n = len(data)
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.doc = empty
@@ -116,6 +116,9 @@ class Records:
             return d ^ (d >> np.uint64(31))
 
         self.digest = digest(self.first, self.last + width)
+        self.left = self.right = np.zeros(len(self.first), np.uint16)
+        if not sides:  # only needed where records meet
+            return
         # Places of the anchor's gram: its first one in the record, and how many there are.
         spread = np.r_[0, np.cumsum(self.last - self.first + width - GRAM + 1)]
         at = np.arange(spread[-1]) + np.repeat(self.first - spread[:-1], np.diff(spread))
@@ -265,12 +268,12 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Block:
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, sides: bool = False):
         self.id, self.ids = row["block"], np.frombuffer(row["ids"], "<i8")
         self.nulls = np.frombuffer(row["nulls"], bool)
         self.raw = zstandard.ZstdDecompressor().decompress(row["data"]) if row["n"] else b""
         self.bounds = np.r_[0, np.cumsum(np.frombuffer(row["sizes"], "<i8"))]
-        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds)
+        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds, sides=sides)
         self.entries, self.number = self.records.distinct(self.ids)
 
     def split(self, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -316,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
+                b = Block(row, sides=True)
                 parts = b.split(buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": [k for k, _ in parts], "block": [b.id] * len(parts), "entries": [pack_entries(b.entries[w]) for _, w in parts]}, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("entries", pa.binary())]))
 
