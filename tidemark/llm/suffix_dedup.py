@@ -44,6 +44,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("anchor", "<u8"), ("record", "<u8"), ("left", "<u2"), ("right", "<u2"), ("least", "<i8")])
 #: Digests of a side: no window reaches that far; the anchor occurs more than once, so anything may match.
 NOWHERE, ANYWHERE = 0, 1
+#: Bytes hashed at a time, and the bits of a hash that give way to its place (more places than a window has).
+STRIP, LOW = 1 << 15, np.uint64(63)
 
 
 def _table() -> np.ndarray:
@@ -69,8 +71,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h, size = TABLE[data], 1
         while size < GRAM:
-            h = h[:-size] * (MULTIPLIER + np.uint64(2 * size)) + h[size:]
-            h ^= h >> np.uint64(29)
+            left = h[:-size] * (MULTIPLIER + np.uint64(2 * size))
+            left += h[size:]
+            left ^= left >> np.uint64(29)
+            h = left
             size *= 2
     return h
 
@@ -83,31 +87,52 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
+def anchors(data: np.ndarray, width: int, sides: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's smallest hash of ``GRAM`` bytes, whose low bits are the place modulo 64, and if it occurs again there.
+
+    Strips that fit the processor's cache are hashed one at a time.
+    """
+    n = len(data) - width + 1
+    least, again = np.empty(n, np.uint64), np.zeros(n, bool)
+    for at in range(0, n, STRIP):
+        h = gram_hashes(data[at : at + STRIP + width - 1])
+        h &= ~LOW
+        h |= np.arange(at, at + len(h), dtype=np.uint64) & LOW
+        out = least[at : at + STRIP]
+        out[:] = sliding_min(h, width - GRAM + 1)
+        if sides:  # the smallest place and the largest one are the same if there is only one
+            again[at : at + STRIP] = ((sliding_min(h ^ LOW, width - GRAM + 1) ^ out) & LOW) != LOW
+    return least, again
+
+
 class Records:
     """Records of a block: first and last window, anchor, digest, and the document each is in."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, sides: bool = True):
         n = len(data)
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
+        self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.digest = np.zeros(0, np.uint64)
         self.left = self.right = np.zeros(0, np.uint16)
         if n < width:
             return
-        grams = gram_hashes(data)
-        anchor = sliding_min(grams, width - GRAM + 1)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(anchor)]
-        inside = np.arange(len(anchor)) + width <= bounds[1:][owner]
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1])
+        least, again = anchors(data, width, sides)
+        whole = np.maximum(np.diff(bounds) - width + 1, 0)  # windows of each document
+        inside = np.repeat(np.tile([True, False], len(whole)), np.stack([whole, np.diff(bounds) - whole], 1).ravel())[: len(least)]
+        new = np.ones(len(least), bool)
+        change = least[1:] ^ least[:-1]
+        new[1:] = (change > LOW) | (inside[1:] != inside[:-1])
+        new[bounds[1:-1][bounds[1:-1] < len(new)]] = True
         first = np.nonzero(new)[0]
-        last = np.r_[first[1:] - 1, len(anchor) - 1]
+        last = np.r_[first[1:] - 1, len(least) - 1]
         keep = inside[first]
         self.first, self.last = first[keep], last[keep]
-        self.doc, self.anchor = owner[self.first], anchor[self.first]
+        self.doc = np.searchsorted(bounds, self.first, "right") - 1
+        self.anchor = least[self.first] >> np.uint64(6)
         up, down = powers(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.r_[np.uint64(0), np.cumsum(TABLE[data] * up[:n], dtype=np.uint64)]
+        sums = np.zeros(n + 1, np.uint64)
+        for at in range(0, n, STRIP):
+            np.multiply(TABLE[data[at : at + STRIP]], up[at : min(at + STRIP, n)], out=sums[at + 1 : at + 1 + STRIP])
+        np.cumsum(sums, out=sums)
 
         def digest(start: np.ndarray, end: np.ndarray) -> np.ndarray:
             with np.errstate(over="ignore"):
@@ -117,30 +142,36 @@ class Records:
 
         self.digest = digest(self.first, self.last + width)
         self.left = self.right = np.zeros(len(self.first), np.uint16)
-        if not sides:  # only needed where records meet
+        if not sides or not len(self.first):  # only needed where records meet
             return
-        # Places of the anchor's gram: its first one in the record, and how many there are.
-        spread = np.r_[0, np.cumsum(self.last - self.first + width - GRAM + 1)]
-        at = np.arange(spread[-1]) + np.repeat(self.first - spread[:-1], np.diff(spread))
-        hit = grams[at] == np.repeat(self.anchor, np.diff(spread))
-        times = np.add.reduceat(hit, spread[:-1], dtype=np.int64) if len(at) else empty
-        place = at[hit][np.cumsum(times) - times]
-        side = lambda there, start, end: np.where(times > 1, ANYWHERE, np.where(there, digest(np.where(there, start, 0), np.where(there, end, 0)) % np.uint64(65_534) + np.uint64(2), NOWHERE)).astype(np.uint16)
+        # The anchor occurs more than once if any window holds two of it or its place moves within the record.
+        again[1:] |= (change != 0) & ~new[1:]
+        times = np.logical_or.reduceat(again, first)[keep]
+        place = self.first + ((least[self.first] - self.first.astype(np.uint64)) & LOW).astype(np.int64)
+        side = lambda there, start, end: np.where(times, ANYWHERE, np.where(there, digest(np.where(there, start, 0), np.where(there, end, 0)) % np.uint64(65_534) + np.uint64(2), NOWHERE)).astype(np.uint16)
         self.left = side(self.first <= place - SIDE, place - SIDE, place)
         self.right = side(self.last >= place - SIDE, place + GRAM, place + GRAM + SIDE)
 
     def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (anchor, digest) with the least id, and each record's number among them."""
-        order = np.lexsort((ids[self.doc], self.digest))  # the digest covers the anchor
+        order = np.argsort(self.digest)  # the digest covers the anchor
         d = self.digest[order]
         new = np.ones(len(order), bool)
         new[1:] = d[1:] != d[:-1]
+        of = np.cumsum(new) - 1
         number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        self.stands = order[new]  # the record that stands for an entry: the first one of the least id
-        out = np.zeros(len(self.stands), ENTRY)
-        for name, values in (("anchor", self.anchor), ("record", self.digest), ("left", self.left), ("right", self.right), ("least", ids[self.doc])):
-            out[name] = values[self.stands]
+        number[order] = of
+        start = np.nonzero(new)[0]
+        out = np.zeros(len(start), ENTRY)
+        self.stands = np.zeros(0, np.int64)
+        if len(start):
+            owner = ids[self.doc[order]]
+            least = np.minimum.reduceat(owner, start)
+            # The record that stands for an entry: the first one of the least id.
+            self.stands = np.minimum.reduceat(np.where(owner == least[of], order, len(order)), start)
+            for name, values in (("anchor", self.anchor), ("record", self.digest), ("left", self.left), ("right", self.right)):
+                out[name] = values[self.stands]
+            out["least"] = least
         return out, number
 
 
@@ -186,22 +217,30 @@ def agreeing(group: np.ndarray, side: np.ndarray, fresh: np.ndarray) -> np.ndarr
 def meet(blobs: list[bytes]) -> list[bytes]:
     """For each block's entries of a bucket two bits: is the block the owner, may another record share a window."""
     parts = [unpack_entries(b) for b in blobs]
-    e = np.concatenate(parts)
-    source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.lexsort((source, e["least"], e["record"], e["anchor"]))
+    e, sizes = np.concatenate(parts), [len(p) for p in parts]
+    order = np.argsort(e["record"])
     s = e[order]
-    fresh_anchor = np.ones(len(s), bool)
-    fresh_anchor[1:] = s["anchor"][1:] != s["anchor"][:-1]
-    fresh = fresh_anchor.copy()
-    fresh[1:] |= s["record"][1:] != s["record"][:-1]
-    least = s["least"][np.maximum.accumulate(np.where(fresh, np.arange(len(s)), 0))]
-    group = np.cumsum(fresh_anchor) - 1
-    several = np.bincount(group, fresh)[group] > 1
-    open_ended = np.bincount(group, s["left"] == ANYWHERE)[group] > 0
-    several &= open_ended | agreeing(group, s["left"].astype(np.int64), fresh) | agreeing(group, s["right"].astype(np.int64), fresh)
+    same, near = s["record"][1:] == s["record"][:-1], s["anchor"][1:] == s["anchor"][:-1]
+    if (same & ~near).any():  # cut digests of two anchors collide
+        order = np.lexsort((e["anchor"], e["record"]))
+        s = e[order]
+        same, near = s["record"][1:] == s["record"][:-1], s["anchor"][1:] == s["anchor"][:-1]
+    fresh = np.r_[True, ~(same & near)]
+    start, of = np.nonzero(fresh)[0], np.cumsum(fresh) - 1
+    least = np.minimum.reduceat(s["least"], start)[of]
+    # Anchors that only one record has are done.
+    rank = np.argsort(s["anchor"][start])
+    anchor = s["anchor"][start[rank]]
+    group = np.empty(len(start), np.int64)
+    group[rank] = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
+    several = (np.bincount(group)[group] > 1)[of]
+    group, left, right = group[of][several], s["left"][several], s["right"][several]
+    if len(group):
+        open_ended = np.bincount(group, left == ANYWHERE)[group] > 0
+        several[several] = open_ended | agreeing(group, left.astype(np.int64), fresh[several]) | agreeing(group, right.astype(np.int64), fresh[several])
     own, many = np.empty(len(s), bool), np.empty(len(s), bool)
     own[order], many[order] = s["least"] == least, several
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    cuts = np.cumsum(sizes)[:-1]
     return [np.packbits(np.r_[x, y]).tobytes() for x, y in zip(np.split(own, cuts), np.split(many, cuts), strict=True)]
 
 
@@ -222,13 +261,11 @@ def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH)
 
     def settle(run: np.ndarray, same: np.ndarray) -> np.ndarray:
         """Mark all groups but the last one, which is returned."""
-        start = np.r_[True, ~same]
-        group = np.cumsum(start) - 1
-        least = np.full(group[-1] + 1, NO_ID)
-        np.minimum.at(least, group, owners[of[run]])
-        done = group < group[-1]
-        repeated[run[done]] = (least[group] < owners[of[run]])[done]
-        return run[~done]
+        start = np.nonzero(np.r_[True, ~same])[0]
+        mine = owners[of[run]]
+        least = np.repeat(np.minimum.reduceat(mine, start), np.diff(np.r_[start, len(run)]))
+        repeated[run[: start[-1]]] = (least < mine)[: start[-1]]
+        return run[start[-1] :]
 
     for block in suffix_order(text, width):
         run = np.r_[tail, block[valid[block]]]
@@ -377,12 +414,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
     b.apply(row["replies"] or [], buckets)
     r, n = b.records, len(b.raw)
-    step = np.zeros(n + 1, np.int32)
     # Records whose entry is owned by a smaller id: all their windows are repeats.
     entry_owner = np.where(b.own, b.entries["least"], np.iinfo(np.int64).min)
     gone = b.ids[r.doc] > entry_owner[b.number] if len(r.first) else np.zeros(0, bool)
-    np.add.at(step, r.first[gone], 1)
-    np.add.at(step, r.last[gone] + WIDTH, -1)
+    begins, ends = [r.first[gone]], [r.last[gone] + WIDTH]
     found = {x["bucket"]: x["bits"] for x in row["found"] or []}
     windows: dict[int, np.ndarray] = {}
     for bucket, which in b.asking(buckets):
@@ -396,17 +431,25 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
         hit[list(windows)] = True
         for k in np.nonzero(hit[b.number] & ~gone)[0].tolist():
             at = r.first[k] + windows[int(b.number[k])]
-            np.add.at(step, at, 1)
-            np.add.at(step, at + WIDTH, -1)
-    removed = np.cumsum(step[:-1]) > 0
-    data = np.frombuffer(b.raw, np.uint8)
-    out = []
-    for i, (s, e) in enumerate(zip(b.bounds[:-1].tolist(), b.bounds[1:].tolist(), strict=True)):
-        cut = removed[s:e]
-        spans = int(cut[:1].sum() + (np.diff(cut.astype(np.int8)) == 1).sum())
-        out.append((None if b.nulls[i] else int(b.ids[i]), e - s, int(cut.sum()), spans, data[s:e][~cut].tobytes() if spans else b.raw[s:e]))
+            begins.append(at)
+            ends.append(at + WIDTH)
+    begins, ends = (np.bincount(np.concatenate(x), minlength=n + 1) for x in (begins, ends))
+    removed = np.cumsum(begins - ends)[:n] > 0
+    opens = removed.copy()
+    opens[1:] &= ~removed[:-1]
+    opens[b.bounds[:-1][b.bounds[:-1] < n]] |= removed[b.bounds[:-1][b.bounds[:-1] < n]]
+    gone_by, spans_by = (np.r_[0, np.cumsum(x)][b.bounds] for x in (removed, opens))
+    kept = np.frombuffer(b.raw, np.uint8)[~removed].tobytes()
+    kept_by = (b.bounds - gone_by).tolist()
+    out = [
+        [None if null else int(i) for i, null in zip(b.ids, b.nulls, strict=True)],
+        np.diff(b.bounds),
+        np.diff(gone_by),
+        np.diff(spans_by),
+        [kept[s:e] for s, e in zip(kept_by[:-1], kept_by[1:], strict=True)],
+    ]
     kinds = [pa.int64()] * 4 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def brute_force(texts: list[tuple[int, bytes]], width: int = WIDTH) -> list[tuple[int, int, int, int, str]]:
