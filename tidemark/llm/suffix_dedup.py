@@ -423,9 +423,11 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
     for bucket, which in b.asking(buckets):
         size = (r.last - r.first)[r.stands[which]] + 1
         bits = np.unpackbits(np.frombuffer(found[bucket], np.uint8))[: int(size.sum())].astype(bool)
-        for e, mine in zip(which.tolist(), np.split(bits, np.cumsum(size)[:-1]), strict=True):
-            if mine.any():
-                windows[e] = np.nonzero(mine)[0]
+        hits, ends_at = np.nonzero(bits)[0], np.cumsum(size)
+        of = np.searchsorted(ends_at, hits, "right")
+        for at in np.split(np.arange(len(hits)), np.nonzero(np.diff(of))[0] + 1) if len(hits) else ():
+            e = of[at[0]]
+            windows[int(which[e])] = hits[at] - (ends_at[e] - size[e])
     if windows:
         hit = np.zeros(len(b.entries), bool)
         hit[list(windows)] = True
@@ -438,7 +440,7 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
     opens = removed.copy()
     opens[1:] &= ~removed[:-1]
     opens[b.bounds[:-1][b.bounds[:-1] < n]] |= removed[b.bounds[:-1][b.bounds[:-1] < n]]
-    gone_by, spans_by = (np.r_[0, np.cumsum(x)][b.bounds] for x in (removed, opens))
+    gone_by, spans_by = (np.searchsorted(np.nonzero(x)[0], b.bounds) for x in (removed, opens))
     kept = np.frombuffer(b.raw, np.uint8)[~removed].tobytes()
     kept_by = (b.bounds - gone_by).tolist()
     out = [

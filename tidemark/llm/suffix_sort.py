@@ -156,8 +156,8 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY):
     is_star = np.zeros(len(text), bool)
     is_star[star] = True
     ranked = np.concatenate([b[is_star[b]] for b in ordered(low, high)] or [star])
-    missing = np.setdiff1d(star, ranked)
-    ranked = np.r_[missing, ranked]  # the final sentinel is induced by nothing and is the smallest
+    is_star[ranked] = False
+    ranked = np.r_[np.nonzero(is_star)[0], ranked]  # the final sentinel is induced by nothing and is the smallest
     low.close()
     high.close()
     place = np.full(len(text), -1, np.int64)
@@ -173,7 +173,9 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY):
         step = covered // 2
         ahead[:-step] = names[step:] + 1
         pair = names * (len(names) + 2) + ahead
-        _, names = np.unique(pair, return_inverse=True)
+        order = np.argsort(pair)
+        pair = pair[order]
+        names[order] = np.cumsum(np.r_[False, pair[1:] != pair[:-1]])
         covered *= 2
     seeds = star[np.argsort(names, kind="stable")]
     low, high = induce(text, is_s, seeds, memory)
