@@ -204,6 +204,36 @@ def test_repeated_passages(docs):
     assert have == want and sum(x[2] for x in want) > 0
 
 
+def test_repeated_passages_with_common_phrases(spark):
+    """Phrases shorter and longer than the width in many contexts, periodic texts, and rows of one id."""
+    rng = random.Random(11)
+    some = lambda n, letters="abcdefgh ": "".join(rng.choice(letters) for _ in range(n))
+    phrases = [some(n) for n in (20, 33, 40, 49, 50, 51, 90)]
+    texts = [some(rng.randint(0, 80)) + "".join(rng.choice(phrases) + some(rng.randint(0, 30), "xyz") for _ in range(rng.randint(0, 6))) for _ in range(150)]
+    texts += [some(p) * rng.randint(1, 200 // p) for p in (1, 2, 3, 16, 17, 34, 35, 36, 49, 50) for _ in range(3)]
+    rows = [(rng.randint(0, 160), t) for t in texts]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    have = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.itertuples())
+    assert have == sorted(suffix_dedup.brute_force([(i, t.encode()) for i, t in rows]))
+
+
+def test_records_do_not_depend_on_strips(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)
+    data[500:700], data[900:1100] = 97, data[100:300]
+    bounds = np.array([0, 0, 40, 600, 600, 601, 2000, 3000])
+    whole = suffix_dedup.Records(data, bounds)
+    monkeypatch.setattr(suffix_dedup, "STRIP", 64)
+    strips = suffix_dedup.Records(data, bounds)
+    for name in ("first", "last", "doc", "anchor", "digest", "left", "right"):
+        assert (getattr(whole, name) == getattr(strips, name)).all(), name
+    windows = [k for s, e in zip(bounds[:-1], bounds[1:], strict=True) for k in range(s, e - suffix_dedup.WIDTH + 1)]
+    assert [k for a, b in zip(whole.first, whole.last, strict=True) for k in range(a, b + 1)] == windows
+    grams = suffix_dedup.gram_hashes(data) >> np.uint64(6)
+    for k, (a, b) in enumerate(zip(whole.first, whole.last, strict=True)):
+        times = (grams[a : b + suffix_dedup.WIDTH - suffix_dedup.GRAM + 1] == whole.anchor[k]).sum()
+        assert times and (times > 1) == (whole.left[k] == suffix_dedup.ANYWHERE)
+
+
 def test_licenses(spark):
     rows = [(1, licenses.MIT.upper().replace("\n\n", "\n"), 0), (2, "Copyright (c) 2020 Someone\n" + licenses.ISC, 0), (3, "Text.\n released UNDER the MIT licence!\nmore", 0), (4, None, 0), (5, "", 0)]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, known int")).collect()}

@@ -9,13 +9,15 @@
    shares with *another* record of its anchor.  Such a window reaches ``SIDE``
    bytes beyond the anchor on one side at least, so it can only be there if the
    records agree in those bytes (a digest of 16 bits each tells).
-4. Owners that may share a window with another record send their bytes to the anchor's
-   shard, where a suffix array by external induced sorting brings equal windows
-   together and the smallest id of each is found.
+4. Owners that agree with another record on a side send their bytes to the shard
+   of the anchor with that side, where a suffix array by external induced sorting
+   brings equal windows together and the smallest id of each is found.  An anchor
+   that occurs twice in a record has one shard for all its records.
 5. Every block applies the answers to its documents.
 
 Nothing is capped: an anchor met by a third of all documents is one record per
-block and context, and shards beyond memory spill their queues.
+block and context, its contexts part by their sides, and shards beyond memory
+spill their queues.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
-def anchors(data: np.ndarray, width: int, sides: bool) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each window's smallest hash of ``GRAM`` bytes, whose low bits are the place modulo 64, and if it occurs again there.
 
     Strips that fit the processor's cache are hashed one at a time.
@@ -100,22 +102,22 @@ def anchors(data: np.ndarray, width: int, sides: bool) -> tuple[np.ndarray, np.n
         h |= np.arange(at, at + len(h), dtype=np.uint64) & LOW
         out = least[at : at + STRIP]
         out[:] = sliding_min(h, width - GRAM + 1)
-        if sides:  # the smallest place and the largest one are the same if there is only one
-            again[at : at + STRIP] = ((sliding_min(h ^ LOW, width - GRAM + 1) ^ out) & LOW) != LOW
+        # The smallest place and the largest one are the same if there is only one.
+        again[at : at + STRIP] = ((sliding_min(h ^ LOW, width - GRAM + 1) ^ out) & LOW) != LOW
     return least, again
 
 
 class Records:
     """Records of a block: first and last window, anchor, digest, and the document each is in."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, sides: bool = True):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH):
         n = len(data)
         self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.digest = np.zeros(0, np.uint64)
         self.left = self.right = np.zeros(0, np.uint16)
         if n < width:
             return
-        least, again = anchors(data, width, sides)
+        least, again = anchors(data, width)
         whole = np.maximum(np.diff(bounds) - width + 1, 0)  # windows of each document
         inside = np.repeat(np.tile([True, False], len(whole)), np.stack([whole, np.diff(bounds) - whole], 1).ravel())[: len(least)]
         new = np.ones(len(least), bool)
@@ -142,7 +144,7 @@ class Records:
 
         self.digest = digest(self.first, self.last + width)
         self.left = self.right = np.zeros(len(self.first), np.uint16)
-        if not sides or not len(self.first):  # only needed where records meet
+        if not len(self.first):
             return
         # The anchor occurs more than once if any window holds two of it or its place moves within the record.
         again[1:] |= (change != 0) & ~new[1:]
@@ -181,6 +183,13 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
         return (((anchor * MULTIPLIER) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
+def grouped(b: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Distinct values and their places."""
+    order = np.argsort(b, kind="stable")
+    cuts = np.r_[0, np.nonzero(np.diff(b[order]))[0] + 1, len(order)] if len(order) else np.zeros(1, int)
+    return [(int(b[order[x]]), order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 #: Bytes of anchors and digests that decide.
 CUT = 6
 
@@ -215,7 +224,8 @@ def agreeing(group: np.ndarray, side: np.ndarray, fresh: np.ndarray) -> np.ndarr
 
 
 def meet(blobs: list[bytes]) -> list[bytes]:
-    """For each block's entries of a bucket two bits: is the block the owner, may another record share a window."""
+    """For each block's entries of a bucket four rows of bits: is the block the owner; may another record share
+    a window that reaches to the left; to the right; or anywhere, as the anchor occurs twice in one of them."""
     parts = [unpack_entries(b) for b in blobs]
     e, sizes = np.concatenate(parts), [len(p) for p in parts]
     order = np.argsort(e["record"])
@@ -235,13 +245,14 @@ def meet(blobs: list[bytes]) -> list[bytes]:
     group[rank] = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
     several = (np.bincount(group)[group] > 1)[of]
     group, left, right = group[of][several], s["left"][several], s["right"][several]
+    out = np.zeros((4, len(s)), bool)
+    out[0, order] = s["least"] == least
     if len(group):
-        open_ended = np.bincount(group, left == ANYWHERE)[group] > 0
-        several[several] = open_ended | agreeing(group, left.astype(np.int64), fresh[several]) | agreeing(group, right.astype(np.int64), fresh[several])
-    own, many = np.empty(len(s), bool), np.empty(len(s), bool)
-    own[order], many[order] = s["least"] == least, several
-    cuts = np.cumsum(sizes)[:-1]
-    return [np.packbits(np.r_[x, y]).tobytes() for x, y in zip(np.split(own, cuts), np.split(many, cuts), strict=True)]
+        anywhere = np.bincount(group, left == ANYWHERE)[group] > 0
+        out[3, order[several]] = anywhere
+        for row, side in ((1, left), (2, right)):
+            out[row, order[several]] = ~anywhere & agreeing(group, side.astype(np.int64), fresh[several])
+    return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1], axis=1)]
 
 
 def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -305,35 +316,36 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Block:
-    def __init__(self, row: dict, sides: bool = False):
+    def __init__(self, row: dict):
         self.id, self.ids = row["block"], np.frombuffer(row["ids"], "<i8")
         self.nulls = np.frombuffer(row["nulls"], bool)
         self.raw = zstandard.ZstdDecompressor().decompress(row["data"]) if row["n"] else b""
         self.bounds = np.r_[0, np.cumsum(np.frombuffer(row["sizes"], "<i8"))]
-        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds, sides=sides)
+        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds)
         self.entries, self.number = self.records.distinct(self.ids)
 
     def split(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """Numbers of the entries of each bucket."""
-        b = bucket_of(self.entries["anchor"], buckets)
-        order = np.argsort(b, kind="stable")
-        cuts = np.r_[0, np.nonzero(np.diff(b[order]))[0] + 1, len(order)] if len(order) else np.zeros(1, int)
-        return [(int(b[order[x]]), order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return grouped(bucket_of(self.entries["anchor"], buckets))
 
     def apply(self, replies: list[dict], buckets: int) -> None:
-        """Take the two bits of each entry."""
-        self.own, self.many = np.zeros(len(self.entries), bool), np.zeros(len(self.entries), bool)
+        """Take the four bits of each entry."""
+        self.bits = np.zeros((4, len(self.entries)), bool)
         bits = {r["bucket"]: r["bits"] for r in replies}
         for bucket, which in self.split(buckets):
-            got = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: 2 * len(which)].astype(bool)
-            self.own[which], self.many[which] = got[: len(which)], got[len(which) :]
+            self.bits[:, which] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: 4 * len(which)].reshape(4, -1)
+
     def asking(self, buckets: int):
-        """(bucket, entry numbers) whose bytes go to the bucket's shard."""
-        ask = self.own & self.many
-        for bucket, which in self.split(buckets):
-            which = which[ask[which]]
-            if len(which):
-                yield bucket, which
+        """(bucket, entry numbers) whose bytes go to the bucket's shard; an entry may go to the shards of both sides."""
+        own, left, right, anywhere = self.bits
+        which, keys = [], []
+        for number, (bit, side) in enumerate(((left, self.entries["left"]), (right, self.entries["right"]), (anywhere, None))):
+            which.append(np.nonzero(own & bit)[0])
+            key = self.entries["anchor"][which[-1]]
+            keys.append(key if side is None else key ^ (side[which[-1]].astype(np.uint64) + np.uint64((number + 1) << 16)))
+        which = np.concatenate(which)
+        for bucket, at in grouped(bucket_of(np.concatenate(keys), buckets)):
+            yield bucket, which[at]
 
     def bytes_of(self, entry: int) -> bytes:
         r = self.records.stands[entry]
@@ -356,7 +368,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, sides=True)
+                b = Block(row)
                 parts = b.split(buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": [k for k, _ in parts], "block": [b.id] * len(parts), "entries": [pack_entries(b.entries[w]) for _, w in parts]}, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("entries", pa.binary())]))
 
@@ -415,11 +427,11 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
     b.apply(row["replies"] or [], buckets)
     r, n = b.records, len(b.raw)
     # Records whose entry is owned by a smaller id: all their windows are repeats.
-    entry_owner = np.where(b.own, b.entries["least"], np.iinfo(np.int64).min)
+    entry_owner = np.where(b.bits[0], b.entries["least"], np.iinfo(np.int64).min)
     gone = b.ids[r.doc] > entry_owner[b.number] if len(r.first) else np.zeros(0, bool)
     begins, ends = [r.first[gone]], [r.last[gone] + WIDTH]
     found = {x["bucket"]: x["bits"] for x in row["found"] or []}
-    windows: dict[int, np.ndarray] = {}
+    windows: dict[int, list[np.ndarray]] = {}
     for bucket, which in b.asking(buckets):
         size = (r.last - r.first)[r.stands[which]] + 1
         bits = np.unpackbits(np.frombuffer(found[bucket], np.uint8))[: int(size.sum())].astype(bool)
@@ -427,12 +439,12 @@ def finished(b: Block, row: dict, buckets: int) -> pa.RecordBatch:
         of = np.searchsorted(ends_at, hits, "right")
         for at in np.split(np.arange(len(hits)), np.nonzero(np.diff(of))[0] + 1) if len(hits) else ():
             e = of[at[0]]
-            windows[int(which[e])] = hits[at] - (ends_at[e] - size[e])
+            windows.setdefault(int(which[e]), []).append(hits[at] - (ends_at[e] - size[e]))
     if windows:
         hit = np.zeros(len(b.entries), bool)
         hit[list(windows)] = True
         for k in np.nonzero(hit[b.number] & ~gone)[0].tolist():
-            at = r.first[k] + windows[int(b.number[k])]
+            at = r.first[k] + np.concatenate(windows[int(b.number[k])])
             begins.append(at)
             ends.append(at + WIDTH)
     begins, ends = (np.bincount(np.concatenate(x), minlength=n + 1) for x in (begins, ends))
