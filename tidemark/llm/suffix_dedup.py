@@ -40,7 +40,7 @@ WIDTH, GRAM = 50, 16
 SIDE = (WIDTH - GRAM) // 2
 BLOCK_BYTES = 2 << 20
 #: Records that one task compares, about; of 18 windows on average each.
-BUCKET_RECORDS = 1 << 20
+BUCKET_RECORDS = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = np.dtype([("anchor", "<u8"), ("record", "<u8"), ("left", "<u2"), ("right", "<u2"), ("least", "<i8")])
@@ -262,10 +262,14 @@ def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH)
     text[-1] = 0
     starts = np.cumsum(sizes + 1) - sizes - 1
     flat = np.frombuffer(b"".join(records), np.uint8)
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(records)), sizes)] = flat.astype(np.uint16) + 2
-    of = np.repeat(np.arange(len(records)), sizes + 1)
-    left = np.r_[np.repeat(starts + sizes, sizes + 1), len(text)] - np.arange(len(text))
-    valid = left >= width
+    of = np.repeat(np.arange(len(records), dtype=np.int32), sizes + 1)
+    place = np.ones(len(text), bool)
+    place[starts + sizes] = place[-1] = False
+    text[place] = flat.astype(np.uint16) + 2
+    # A window starts where its record goes on for ``width`` bytes.
+    short = np.minimum(sizes, width - 1)
+    valid = place
+    valid[:-1] = np.repeat(np.tile([True, False], len(sizes)), np.stack([sizes - short, short + 1], 1).ravel())
     packed = words_of(text)
     repeated = np.zeros(len(text), bool)
     tail = np.zeros(0, np.int64)  # the last group, which may go on in the next block
@@ -287,6 +291,12 @@ def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH)
     return [repeated[s : s + n - width + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows, of which only one at a time is copied."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -367,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 parts = b.split(buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": [k for k, _ in parts], "block": [b.id] * len(parts), "entries": [pack_entries(b.entries[w]) for _, w in parts]}, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("entries", pa.binary())]))
@@ -384,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 b.apply(row["replies"] or [], buckets)
                 for bucket, which in b.asking(buckets):
@@ -416,7 +426,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 yield finished(Block(row), row, buckets)
 
     whole = blocks.join(settled, "block", "left")

@@ -90,7 +90,8 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     step = np.diff(text.astype(np.int32))
     decided = np.r_[step != 0, True]
     # The next place where the character changes decides.
-    at = np.where(decided, np.arange(n), n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    at = np.where(decided, np.arange(n, dtype=kind), kind(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
     return np.r_[step > 0, True][at]
 
@@ -148,24 +149,26 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY):
     whose suffixes are ordered by doubling the names until all differ or
     ``depth`` is covered; a second induction gives the whole order.
     """
+    kind = np.int32 if len(text) < 1 << 31 else np.int64
     is_s = smaller_than_next(text)
-    star = np.nonzero(is_s[1:] & ~is_s[:-1])[0] + 1
+    star = (np.nonzero(is_s[1:] & ~is_s[:-1])[0] + 1).astype(kind)
     if not len(star):
-        star = np.array([len(text) - 1])
+        star = np.array([len(text) - 1], kind)
     low, high = induce(text, is_s, star, memory)
     is_star = np.zeros(len(text), bool)
     is_star[star] = True
     ranked = np.concatenate([b[is_star[b]] for b in ordered(low, high)] or [star])
     is_star[ranked] = False
-    ranked = np.r_[np.nonzero(is_star)[0], ranked]  # the final sentinel is induced by nothing and is the smallest
+    ranked = np.r_[np.nonzero(is_star)[0].astype(kind), ranked]  # the final sentinel is induced by nothing and is the smallest
     low.close()
     high.close()
-    place = np.full(len(text), -1, np.int64)
-    place[star] = np.arange(len(star))
+    place = np.full(len(text), -1, kind)
+    place[star] = np.arange(len(star), dtype=kind)
     ends = np.r_[star[1:] + 1, len(text)]
     size = np.minimum(ends - star, depth + 1)
     names = np.zeros(len(star), np.int64)
     own = place[ranked]
+    del place, is_star
     names[own] = np.cumsum(np.r_[0, ~same_substrings(text, ranked[:-1], ranked[1:], size[own[:-1]], size[own[1:]])])
     covered = 2
     while covered < depth + 2 and names.max() + 1 < len(names):
@@ -188,8 +191,12 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY):
 
 def words_of(text: np.ndarray) -> np.ndarray:
     """Four characters from each place on, packed."""
-    t = np.r_[text.astype(np.uint64), np.zeros(4, np.uint64)]
-    return (t[:-4] << np.uint64(48)) | (t[1:-3] << np.uint64(32)) | (t[2:-2] << np.uint64(16)) | t[3:-1]
+    t = np.r_[text, np.zeros(3, np.uint16)]
+    out = t[: len(text)].astype(np.uint64)
+    for k in range(1, 4):
+        out <<= np.uint64(16)
+        out |= t[k : k + len(text)]
+    return out
 
 
 def same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
