@@ -94,6 +94,24 @@ def test_robust(spark):
     assert got.iloc[:, 1].fillna(-1).tolist() == [5, -1, -1]
 
 
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("std_diff", lambda t, v: np.std(np.diff(v))), ("distance", lambda t, v: np.sqrt(1 + np.diff(v) ** 2).sum()), ("std_time_diff", lambda t, v: np.std(np.diff(t)))],
+)
+def test_change_features(spark, name, want):
+    rng = np.random.default_rng(4)
+    t, v = np.cumsum(rng.integers(1, 4, 30)).astype(float), rng.normal(size=30)
+    got = run(spark, frame(spark, v, t.tolist()), name, 20.0, 10.0, window_idx="begin")
+    inside = [(t >= s) & (t < s + 20) for s in got["i"]]
+    assert len(got) > 2 and np.allclose(got.iloc[:, 1], [want(t[k], v[k]) for k in inside])
+
+
+def test_minute_of_last_value(spark):
+    rows = [(i, pd.Timestamp(2024, 1, 1, 5, 7 * i).to_pydatetime()) for i in range(6)]
+    got = run(spark, spark.createDataFrame(rows, "i long, v timestamp"), "minute_of_last", 3, 1, window_idx="begin")
+    assert got.iloc[:, 1].tolist() == [14, 21, 28]
+
+
 def test_registry_and_config(tmp_path):
     fc = FeatureCollection(MultipleFeatureDescriptors(["sum", "max"], ["a", "b"], [4, 8], 2))
     assert fc.get_nb_output_features() == 8 and set(fc.get_required_series()) == {"a", "b"}

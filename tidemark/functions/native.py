@@ -65,6 +65,11 @@ def mean_of(a: Column) -> Column:
     return total(a) / F.nullif(F.size(a), F.lit(0))
 
 
+def spread_of(a: Column) -> Column:
+    """Population standard deviation of an array."""
+    return F.sqrt(mean_of(F.transform(a, lambda x: (x - mean_of(a)) * (x - mean_of(a)))))
+
+
 def seconds(t: Column, time: bool) -> Column:
     return t / 1e6 if time else t.cast("double")
 
@@ -119,6 +124,9 @@ NATIVE: dict[str, tuple] = {
     "mean_diff": (["mean_diff"], lambda t, v, p, time, **_: [mean_of(diffs(ordered(t, v)))], NAN),
     "mean_abs_diff": (["mean_abs_diff"], lambda t, v, p, time, **_: [mean_of(F.transform(diffs(ordered(t, v)), F.abs))], NAN),
     "sum_abs_diff": (["sum_abs_diff"], lambda t, v, p, time, **_: [total(F.transform(diffs(ordered(t, v)), F.abs))], 0.0),
+    "std_diff": (["std_diff"], lambda t, v, p, time, **_: [spread_of(diffs(ordered(t, v)))], NAN),
+    "distance": (["distance"], lambda t, v, p, time, **_: [total(F.transform(diffs(ordered(t, v)), lambda x: F.sqrt(1 + x * x)))], 0.0),
+    "std_time_diff": (["std_time_diff"], lambda t, v, p, time, **_: [spread_of(F.transform(diffs(ordered_times(t)), lambda x: seconds(x, time)))], NAN),
     "cid_ce": (["cid_ce"], lambda t, v, p, time, **_: [F.sqrt(total(F.transform(diffs(ordered(t, v)), lambda x: x * x)))], 0.0),
     "zero_cross": (["zero_cross"], lambda t, v, p, time, **_: [F.size(F.filter(diffs(F.transform(ordered(t, v), F.signum)), lambda x: x != 0))], 0),
     "slope": (["slope"], lambda t, v, p, time, **_: [_slope_by_position(ordered(t, v))], NAN),
@@ -129,6 +137,7 @@ NATIVE: dict[str, tuple] = {
     "category_counts": (["category_counts"], _category_counts, 0),
     "variance_larger_than_std": (["variance_larger_than_std"], lambda t, v, p, time, **_: [(F.var_pop(kept(v, p)) > F.stddev_pop(kept(v, p))).cast("double")], NAN),
     "hour_of_last": (["hour_of_last"], lambda t, v, p, time, **_: [F.hour(F.max_by(v, t))], NAN),
+    "minute_of_last": (["minute_of_last"], lambda t, v, p, time, **_: [F.minute(F.max_by(v, t))], NAN),
     "weekday_of_last": (["weekday_of_last"], lambda t, v, p, time, **_: [F.weekday(F.max_by(v, t))], NAN),
 }
 

@@ -263,6 +263,17 @@ def ordered_features(spark, d):
     return renamed(fc.calculate(events(spark, d), return_df=True), ts="ts", **{k: f"value__{v}__w=6h" for k, v in names.items()})
 
 
+@query(
+    f"WITH {grid_sql(6 * H, [6 * H])}, m AS (SELECT we, e.value - lag(e.value) OVER (PARTITION BY we ORDER BY e.ts) AS dv, epoch_us(e.ts) - lag(epoch_us(e.ts)) OVER (PARTITION BY we ORDER BY e.ts) AS dt FROM g LEFT JOIN events e ON epoch_us(e.ts) >= ws AND epoch_us(e.ts) < we) "
+    "SELECT make_timestamp(we) AS ts, round(stddev_pop(dv), 6) AS step_spread, round(coalesce(sum(sqrt(1 + dv * dv)), 0), 6) AS distance, round(stddev_pop(dt / 1e6), 4) AS gap_spread FROM m GROUP BY we"
+)
+def change_features(spark, d):
+    fc = FeatureCollection(MultipleFeatureDescriptors(["std_diff", "distance", "std_time_diff"], "value", "6h", "6h"))
+    names = {"step_spread": "std_diff", "distance": "distance"}
+    out = fc.calculate(events(spark, d), return_df=True).withColumn("gap_spread", F.round(F.col("`value__std_time_diff__w=6h`"), 4))
+    return renamed(out, ts="ts", gap_spread="gap_spread", **{k: f"value__{v}__w=6h" for k, v in names.items()})
+
+
 @query(hop_sql("CASE WHEN count(e.value) >= 14 THEN round(min(e.value), 6) ELSE -1 END AS least", H, [H]))
 def robust_min_samples(spark, d):
     fc = FeatureCollection(FeatureDescriptor(make_robust("min", min_nb_samples=14, error_val=-1.0), "value", "1h", "1h"))
