@@ -180,6 +180,17 @@ def test_secrets():
     assert secret_scan.redact_text("a token=abcdef b", secret_scan.scan("a token=abcdef b"), "#") == "a # b"
 
 
+def test_secrets_encoded_in_part():
+    for text in ('password="%68unter22x"', '{"\\u0070assword": "hunter22x"}', "%70assword = hunter22x", "%22password%22: %22hunter22x%22", "\\u0070assword=%68unter22x", "token= %70assword%3Ahunter22x"):
+        for before, after in (("", ""), ("é plain ", " and more")):
+            whole = before + text + after
+            spans = [s for s in secret_scan.scan(whole) if s[3]]
+            assert spans and all(s[0] == "assign" for s in spans), text
+            assert "22x" not in secret_scan.redact_text(whole, secret_scan.scan(whole), "#"), text
+    assert secret_scan.scan('a %41 password="%68unter22x" b') == [("assign", 6, 27, 1)]
+    assert secret_scan.scan("token=password : hunter22x %41") == [("assign", 0, 14, 0)]
+
+
 def test_secret_query_counts(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op10_secrets(spark, str(tmp_path)).where("doc_id = 52").first()

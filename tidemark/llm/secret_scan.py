@@ -2,8 +2,10 @@
 
 Layer 0 is the text itself.  A worklist unwraps URL escapes, Unicode escapes,
 base64 and zlib or gzip data until nothing decodes any more; a digest of every
-layer seen on the way stops cycles.  Each layer is rescanned, and every decoded
-character knows the stretch of the text it came from, so that finds map back.
+layer seen on the way stops cycles.  Escapes are decoded in place, so their
+layer is the whole layer above and a find may mix decoded and plain characters.
+Each layer is rescanned, and every decoded character knows the stretch of the
+text it came from, so that finds map back.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +32,16 @@ ASSIGN = re.compile(
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+ANY_ASSIGN = re.compile(f"(?=({ASSIGN.pattern}))")
 ASSIGN_LEAST = 6
 # A run of fewer characters fails as a whole, so asking for the length at once finds the same matches.
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
 HEX = re.compile("[0-9a-f]{24,}")
 
-URL = re.compile(r"[A-Za-z0-9._~+/=&:%-]*%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=&:%-]*")
-URL_STEP = re.compile(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%")
-ESCAPED = re.compile(r"\S*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})\S*")
-ESCAPED_STEP = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|[^\\]+|\\")
+URL = re.compile(r"%[0-9A-Fa-f]{2}")
+#: Strings of strings double the backslash, so all those in front go.
+ESCAPED = re.compile(r"\\+(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
+BOTH = re.compile(f"{URL.pattern}|{ESCAPED.pattern}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that a compressed layer may unfold to; a bomb beyond it is left packed.
 UNFOLD_LIMIT = 64 << 20
@@ -45,11 +50,21 @@ Span = tuple[str, int, int]
 
 
 def find(text: str) -> list[Span]:
-    """Finds in one layer, by start and then kind."""
+    """Finds in the text itself, by start and then kind."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
-    out += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    return sorted(out + runs(text), key=order)
+
+
+def find_all(text: str) -> list[Span]:
+    """Finds in a decoded layer; an assignment may begin inside of another one, whose value would hide it."""
+    out = [("assign", *m.span(1)) for m in ANY_ASSIGN.finditer(text) if m.end(3) - m.start(3) >= ASSIGN_LEAST]
+    return sorted(out + runs(text), key=order)
+
+
+def runs(text: str) -> list[Span]:
+    out = [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    return sorted(out, key=order)
+    return out
 
 
 def order(span: Span) -> tuple[int, int, int]:
@@ -57,15 +72,28 @@ def order(span: Span) -> tuple[int, int, int]:
 
 
 class Layer:
-    """Decoded text and, for each of its characters, where it came from in the document."""
+    """Decoded text and where its characters came from in the document: their starts and ends (never falling), one place for all, or neither in the document itself."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, place: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.place = text, starts, ends, place
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        if self.place is not None:
+            return self.place
+        return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
+
+    def derive(self, text: str, first: Sequence[int], last: Sequence[int]) -> Layer:
+        """A layer whose characters came from those of this one, first to last (inclusive)."""
+        if self.place is not None:
+            return Layer(text, place=self.place)
+        first, last = np.asarray(first, np.int64), np.asarray(last, np.int64)
+        return Layer(text, first, last + 1) if self.starts is None else Layer(text, self.starts[first], self.ends[last])
+
+    def mark(self) -> bytes:
+        digest = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        for part in (self.starts, self.ends, repr(self.place).encode()):
+            digest.update(b"" if part is None else part)
+        return digest.digest()
 
 
 def readable(raw: bytes) -> str | None:
@@ -88,62 +116,36 @@ def unfold(raw: bytes) -> bytes | None:
     return None if machine.unconsumed_tail else out
 
 
-def spread(raw: bytes, text: str, at: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Places of characters from places of their bytes."""
-    starts, ends, k = [], [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        starts.append(at[k][0])
-        ends.append(at[k + n - 1][1])
-        k += n
-    return starts, ends
-
-
-def from_url(layer: Layer, m: re.Match) -> Layer | None:
-    text, starts, ends = [], [], []
-    for step in URL_STEP.finditer(layer.text, m.start(), m.end()):
-        a, b = step.span()
-        if b - a >= 3 and step[0][0] == "%":
-            raw = bytes.fromhex(step[0].replace("%", ""))
-            got = raw.decode("utf-8", "replace")
-            at = [layer.source(a + 3 * i, a + 3 * i + 3) for i in range(len(raw))]
-            if "�" in got:
-                got = raw.decode("latin-1")
-                s, e = [x for x, _ in at], [y for _, y in at]
-            else:
-                s, e = spread(raw, got, at)
-        else:
-            got, at = step[0], [layer.source(i, i + 1) for i in range(a, b)]
-            s, e = [x for x, _ in at], [y for _, y in at]
-        text.append(got)
-        starts += s
-        ends += e
-    return Layer("".join(text), starts, ends)
-
-
-def from_escapes(layer: Layer, m: re.Match) -> Layer | None:
-    text, starts, ends = [], [], []
-    for step in ESCAPED_STEP.finditer(layer.text, m.start(), m.end()):
-        a, b = step.span()
-        if step[0][:2] in ("\\u", "\\x") and b - a >= 4:
-            width = 6 if step[0][1] == "u" else 4
-            units = [int(step[0][i + 2 : i + width], 16) for i in range(0, b - a, width)]
-            k = 0
-            while k < len(units):
-                pair = width == 6 and 0xD800 <= units[k] < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1] < 0xE000
-                code = 0x10000 + ((units[k] - 0xD800) << 10) + units[k + 1] - 0xDC00 if pair else units[k]
-                s, e = layer.source(a + k * width, a + (k + 1 + pair) * width)
-                text.append("�" if 0xD800 <= code < 0xE000 else chr(code))
-                starts.append(s)
-                ends.append(e)
-                k += 1 + pair
-        else:
-            for i in range(a, b):
-                s, e = layer.source(i, i + 1)
-                text.append(layer.text[i])
-                starts.append(s)
-                ends.append(e)
-    return Layer("".join(text), starts, ends)
+def spread(text: str) -> tuple[list[int], list[int]]:
+    """The first and the last byte of each character."""
+    size = [len(c.encode("utf-8")) for c in text]
+    last = [k - 1 for k in accumulate(size)]
+    return [k + 1 - n for k, n in zip(last, size, strict=True)], last
+
+
+def in_place(layer: Layer, pattern: re.Pattern) -> Layer | None:
+    """The whole layer with every escape decoded, None if it has none.
+
+    Each escape becomes one character, bytes as Latin-1: all patterns are ASCII,
+    so the bytes of other characters need not be put together.
+    """
+    text, first, last, at = [], [], [], 0
+    mapped = layer.place is None
+    for m in pattern.finditer(layer.text):
+        a, b = m.span()
+        code = int(layer.text[a:b].lstrip("\\%ux"), 16)
+        text += [layer.text[at:a], "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)]
+        if mapped:
+            first += [*range(at, a), a]
+            last += [*range(at, a), b - 1]
+        at = b
+    if not at:
+        return None
+    text.append(layer.text[at:])
+    if mapped:
+        first += range(at, len(layer.text))
+        last += range(at, len(layer.text))
+    return layer.derive("".join(text), first, last)
 
 
 def from_base64(layer: Layer, m: re.Match) -> Layer | None:
@@ -153,41 +155,50 @@ def from_base64(layer: Layer, m: re.Match) -> Layer | None:
         raw = base64.b64decode(packed + "=" * (-len(packed) % 4), validate=True)
     except binascii.Error:
         return None
-    whole = layer.source(m.start(), m.end())
     if (inner := unfold(raw)) is not None:
         text = readable(inner)
-        return text and Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
+        return text and Layer(text, place=layer.source(*m.span()))
     text = readable(raw)
     if text is None:
         return None
-    at = [layer.source(m.start() + i * 4 // 3, min(m.start() + i * 4 // 3 + 2, m.end())) for i in range(len(raw))]
-    return Layer(text, *spread(raw, text, at))
+    first, last = spread(text)
+    return layer.derive(text, [m.start() + i * 4 // 3 for i in first], [m.start() + i * 4 // 3 + 1 for i in last])
+
 
+def children(layer: Layer, how: str) -> Iterator[tuple[Layer, str]]:
+    """The layers one step below, and how they go on.
 
-DECODERS = ((URL, from_url), (ESCAPED, from_escapes), (BASE64, from_base64))
+    All escapes are decoded at once, and the two kinds also apart, since one may
+    cut what the other completes.  A layer of one kind goes on with that kind, so
+    layers do not multiply with every order of decoding.
+    """
+    kinds = [k for k, sign in (("url", "%"), ("escaped", "\\")) if how in ("both", k) and sign in layer.text]
+    inner = {k: got for k in kinds if (got := in_place(layer, {"url": URL, "escaped": ESCAPED}[k]))}
+    if len(inner) == 2:
+        yield in_place(layer, BOTH), "both"
+        yield from ((got, k) for k, got in inner.items())
+    else:
+        yield from ((got, how) for got in inner.values())
+    for m in BASE64.finditer(layer.text):
+        if got := from_base64(layer, m):
+            yield got, "both"
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
     """All finds as (kind, start, end, depth); those of depth 0 are in the text itself."""
     found = {span: 0 for span in find(text)}
-    seen, work = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, deque([(Layer(text), 0)])
+    seen, work = set(), deque([(Layer(text), "both", 0)])
     while work:
-        layer, depth = work.popleft()
-        for pattern, decode in DECODERS:
-            if pattern is URL and "%" not in layer.text or pattern is ESCAPED and "\\" not in layer.text:
+        layer, how, depth = work.popleft()
+        for inner, onward in children(layer, how):
+            if (mark := (inner.mark(), onward)) in seen:
                 continue
-            for m in pattern.finditer(layer.text):
-                inner = decode(layer, m)
-                if inner is None or inner.text == m[0]:
-                    continue
-                place = layer.source(*m.span())
-                mark = hashlib.sha256(repr(place).encode() + inner.text.encode("utf-8", "surrogatepass")).digest()
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                for kind, a, b in find(inner.text):
-                    found.setdefault((kind, *inner.source(a, b)), depth + 1)
-                work.append((inner, depth + 1))
+            seen.add(mark)
+            for kind, a, b in find_all(inner.text):
+                start, end = inner.source(a, b)
+                if text[start:end] != inner.text[a:b]:  # else nothing in it was decoded
+                    found.setdefault((kind, start, end), depth + 1)
+            work.append((inner, onward, depth + 1))
     return [(*span, found[span]) for span in sorted(found, key=order)]
 
 
