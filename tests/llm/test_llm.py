@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import random
@@ -191,6 +192,31 @@ def test_secrets_encoded_in_part():
     assert secret_scan.scan("token=password : hunter22x %41") == [("assign", 0, 14, 0)]
 
 
+def test_secrets_in_any_bytes():
+    key = b"token=abcdef123456"
+    for odd in ("\u00a0", "\u00ad", "\u200b", "\u200d", "\ufeff", "\u2028", "\u3000", "\f", "\0", b"\xff"):
+        raw = (odd if isinstance(odd, bytes) else odd.encode()) + b" " + key + b" ok"
+        for data in (raw, zlib.compress(raw), gzip.compress(raw), gzip.compress(zlib.compress(raw))):
+            spans = secret_scan.scan(f"see {b64encode(data).decode()} end")
+            assert any(s[0] == "assign" and s[3] for s in spans), (odd, data)
+
+
+def test_secrets_in_joined_and_wrapped_base64():
+    rng = random.Random(6)
+    noise = bytes(rng.randrange(256) for _ in range(200))
+    long = zlib.compress(noise + b" token=abcdef123456 " + noise)
+    for data in (b"my token=abcdef123456 ok", long, gzip.compress(noise + b" token=abcdef123456 " + noise)):
+        one = b64encode(data).decode()
+        texts = [before + one + after for before in ("com/", "a-", "ab_", "key+", "abcde") for after in ("", "/tail", "-x y")]
+        texts += ["see: " + eol.join(one[i : i + n] for i in range(0, len(one), n)) + "\nEnd here." for n in (10, 20, 64, 76) for eol in ("\n", "\r\n", "\n    ")]
+        for text in texts:
+            spans = [s for s in secret_scan.scan(text) if s[0] == "assign"]
+            assert spans and all(0 <= a < b <= len(text) for _, a, b, _ in spans), text
+    data = b64encode(b"my token=abcdef123456 ok").decode()
+    assert secret_scan.scan("com/" + data) == [("assign", 8, 32, 1)]
+    assert secret_scan.scan("x " + b64encode(zlib.compress(b"token=abcdef12")).decode() + " y")[0][1:3] == (2, 34)
+
+
 def test_secret_query_counts(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op10_secrets(spark, str(tmp_path)).where("doc_id = 52").first()

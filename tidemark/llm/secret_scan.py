@@ -4,20 +4,18 @@ Layer 0 is the text itself.  A worklist unwraps URL escapes, Unicode escapes,
 base64 and zlib or gzip data until nothing decodes any more; a digest of every
 layer seen on the way stops cycles.  Escapes are decoded in place, so their
 layer is the whole layer above and a find may mix decoded and plain characters.
-Each layer is rescanned, and every decoded character knows the stretch of the
+Bytes are scanned whatever they hold.  Each layer is rescanned, and every decoded character knows the stretch of the
 text it came from, so that finds map back.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +40,20 @@ URL = re.compile(r"%[0-9A-Fa-f]{2}")
 #: Strings of strings double the backslash, so all those in front go.
 ESCAPED = re.compile(r"\\+(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
 BOTH = re.compile(f"{URL.pattern}|{ESCAPED.pattern}")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64 from its first character on, line breaks included.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-](?:[ \t]*\r?\n[ \t]*)?){16,}+={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+PLAIN = str.maketrans("-_", "+/", " \t\r\n")
+#: What decoded bytes need to hold for a find or another layer of text; everything else is left at once.
+WORTH = re.compile(
+    rb"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+    rb"|(?:[A-Za-z0-9+/_-](?:[ \t]*\r?\n[ \t]*)?){16}"
+)
+#: Headers of gzip and, by window size, of zlib.
+PACKED = re.compile(
+    b"|".join([rb"\x1f\x8b\x08", *(b"%s[%s]" % (re.escape(bytes([c])), b"".join(re.escape(bytes([f])) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32)) for c in range(8, 128, 16))]),
+    re.DOTALL,
+)
 #: Bytes that a compressed layer may unfold to; a bomb beyond it is left packed.
 UNFOLD_LIMIT = 64 << 20
 
@@ -76,6 +87,8 @@ class Layer:
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, place: tuple[int, int] | None = None):
         self.text, self.starts, self.ends, self.place = text, starts, ends, place
+        #: Whether its compressed data are layers already, or it is the document, which cannot hold any.
+        self.unpacked = starts is None and place is None
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         if self.place is not None:
@@ -96,31 +109,29 @@ class Layer:
         return digest.digest()
 
 
-def readable(raw: bytes) -> str | None:
-    """The bytes as text, if they look like any."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def unfold(raw: bytes) -> bytes | None:
-    """zlib or gzip data in full, None if it is neither."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
+def unfold(raw: bytes, at: int) -> tuple[bytes, int]:
+    """The zlib or gzip data that begin at a place, as far as they can be read, and where they end (the place itself if they do not end)."""
+    out, machine = b"", zlib.decompressobj(47)
     try:
-        out = (machine := zlib.decompressobj(47)).decompress(raw, UNFOLD_LIMIT)
+        out = machine.decompress(raw[at:], UNFOLD_LIMIT)
     except zlib.error:
-        return None
-    return None if machine.unconsumed_tail else out
+        return b"", at
+    if machine.unconsumed_tail:
+        return b"", at
+    return out, len(raw) - len(machine.unused_data) if machine.eof else at
 
 
-def spread(text: str) -> tuple[list[int], list[int]]:
-    """The first and the last byte of each character."""
-    size = [len(c.encode("utf-8")) for c in text]
-    last = [k - 1 for k in accumulate(size)]
-    return [k + 1 - n for k, n in zip(last, size, strict=True)], last
+def unpack(layer: Layer, raw: bytes, tail: tuple[int, int] | None = None) -> Iterator[Layer]:
+    """The compressed data anywhere in a layer's bytes; ``tail`` is the place that follows the last byte, padding included."""
+    at = 0
+    while m := PACKED.search(raw, at):
+        out, end = unfold(raw, m.start())
+        at = max(end, m.start() + 1)
+        if out:
+            start, stop = layer.source(m.start(), end if end > m.start() else len(raw))
+            if tail and end in (m.start(), len(raw)):
+                stop = tail[1]
+            yield Layer(out.decode("latin-1"), place=(start, stop))
 
 
 def in_place(layer: Layer, pattern: re.Pattern) -> Layer | None:
@@ -148,21 +159,29 @@ def in_place(layer: Layer, pattern: re.Pattern) -> Layer | None:
     return layer.derive("".join(text), first, last)
 
 
-def from_base64(layer: Layer, m: re.Match) -> Layer | None:
-    packed = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    packed = packed[: len(packed) - (len(packed) % 4 == 1)]
-    try:
-        raw = base64.b64decode(packed + "=" * (-len(packed) % 4), validate=True)
-    except binascii.Error:
-        return None
-    if (inner := unfold(raw)) is not None:
-        text = readable(inner)
-        return text and Layer(text, place=layer.source(*m.span()))
-    text = readable(raw)
-    if text is None:
-        return None
-    first, last = spread(text)
-    return layer.derive(text, [m.start() + i * 4 // 3 for i in first], [m.start() + i * 4 // 3 + 1 for i in last])
+def from_base64(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
+    """What a run holds from each of its four alignments on, as bytes in Latin-1, and the compressed data in it.
+
+    Text joined to its front, the separators of the alphabet too, moves the
+    alignment only, and what follows spoils its own bytes only.
+    """
+    run = layer.text[begin:end]
+    packed, places = run.rstrip("= \t\r\n").translate(PLAIN), None
+    tail = layer.source(begin, begin + len(run.rstrip()))
+    for k in range(4):
+        part = packed[k : len(packed) - ((len(packed) - k) % 4 == 1)]
+        raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        worth = WORTH.search(raw)
+        if not worth and not PACKED.search(raw):
+            continue
+        if places is None:
+            places = np.array([begin + i for i, c in enumerate(run) if not c.isspace()])
+        byte = np.arange(len(raw))
+        inner = layer.derive(raw.decode("latin-1"), places[k + byte * 4 // 3], places[k + byte * 4 // 3 + 1])
+        inner.unpacked = True
+        yield from unpack(inner, raw, tail)
+        if worth:
+            yield inner
 
 
 def children(layer: Layer, how: str) -> Iterator[tuple[Layer, str]]:
@@ -180,8 +199,12 @@ def children(layer: Layer, how: str) -> Iterator[tuple[Layer, str]]:
     else:
         yield from ((got, how) for got in inner.values())
     for m in BASE64.finditer(layer.text):
-        if got := from_base64(layer, m):
-            yield got, "both"
+        if "\n" in m[0]:
+            for line in BASE64_LINE.finditer(layer.text, *m.span()):
+                yield from ((got, "both") for got in from_base64(layer, *line.span()))
+        yield from ((got, "both") for got in from_base64(layer, *m.span()))
+    if not layer.unpacked:
+        yield from ((got, "both") for got in unpack(layer, layer.text.encode("latin-1", "replace")))
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
