@@ -278,6 +278,19 @@ def test_licenses(spark):
     assert got[4].licenses == got[5].licenses == ""
 
 
+def test_full_licence_texts(spark):
+    text = {p.stem: p.read_text("utf-8") for p in licenses.TEXTS.glob("*.txt")}
+    bsd = "Copyright 2020 A. Person\nAll rights reserved.\n\n" + text["BSD-2-Clause"].split("\n", 2)[2]
+    end = "END OF TERMS AND CONDITIONS"
+    want = [(i, i, t.replace("\n", "\r\n").upper()) for i, t in text.items()]
+    want += [("BSD-2-Clause", "", bsd), ("BSD-3-Clause", "", "BSD 3-Clause License\n\n" + bsd.replace("THIS SOFTWARE IS", licenses.BSD_3 + "\n\nTHIS SOFTWARE IS", 1))]
+    want += [("Apache-2.0", "", text["Apache-2.0"].split(end)[0]), ("GPL-3.0", "", text["GPL-3.0"].replace("https://", "http://")), ("GPL-2.0", "", text["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"))]
+    want += [("MPL-2.0", "", "Licensed under the MPL 2.0."), ("LGPL", "", "Licensed under the GNU Lesser General Public License."), ("AGPL-3.0", "", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("CC-BY-NC-4.0", "", "Licensed under CC BY-NC 4.0.")]
+    docs = spark.createDataFrame([(k, w[2]) for k, w in enumerate(want)], "doc_id int, text string")
+    got = {r.doc_id: r.whole_license for r in licenses.scan_licenses(docs).collect()}
+    assert [(w[0], got[k]) for k, w in enumerate(want)] == [(w[0], w[0]) for w in want]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (exact_dedup.deduplicate, packing.pack, simhash.near_duplicates, suffix_dedup.remove_repeats, secret_scan.scan_secrets, licenses.scan_licenses, pieces.encode):

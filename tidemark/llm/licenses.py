@@ -9,6 +9,9 @@ licences and notices by a hash join.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-KNOWN = (
+NOTICES = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
     ("MIT", "The MIT License (MIT)\n\n" + MIT),
@@ -42,6 +45,73 @@ KNOWN = (
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
+#: Full texts in files, by SPDX id (GNU ids without -only and -or-later).
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+#: Names that follow "Licensed under the" and the like in one line; those without a version have ids without one.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"),
+    "MIT": ("MIT License",),
+    "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"),
+    **{f"{a}-{v}": (f"GNU {n} Public License, version {v[0] if v[2] == '0' else v}", f"GNU {n} Public License, version {v}", f"GNU {n} Public License v{v}", f"GNU {n} Public License {v}", f"GNU {a} {v}", f"{a} {v}", *((f"GNU {n} Public License v{v[0]}", f"GNU {a} v{v[0]}", f"{a}v{v[0]}") if v[2] == "0" else (f"GNU {a} v{v}", f"{a}v{v}"))) for a, n, vs in (("GPL", "General", ("1.0", "2.0", "3.0")), ("LGPL", "Lesser General", ("2.1", "3.0")), ("LGPL", "Library General", ("2.0",)), ("AGPL", "Affero General", ("3.0",))) for v in vs},
+    "GPL": ("GNU General Public License", "GNU GPL", "GPL"),
+    "LGPL": ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL"),
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPL"),
+    **{f"CC-{c}-4.0": (f"CC {c} 4.0", f"CC {c} 4.0 International", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 License", f"Creative Commons {n} 4.0") for c, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+}
+#: Standard headers: (marks of begin and end in the full text).
+HEADERS = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "limitations under the License."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms", "http://mozilla.org/MPL/2.0/."),
+    **dict.fromkeys(("GPL-1.0", "GPL-2.0", "GPL-3.0"), ("This program is free software", "Public License for more details.")),
+    **dict.fromkeys(("LGPL-2.0", "LGPL-2.1"), ("This library is free software", "Public License for more details.")),
+}
+ADDRESS = re.compile(r"51 Franklin (?:St|Street), Fifth Floor, Boston,? MA\s+02110-1301,?\s+USA")
+ADDRESSES = ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "59 Temple Place - Suite 330, Boston, MA 02111-1307, USA", "675 Mass Ave, Cambridge, MA 02139, USA")
+
+
+def forms(text: str) -> list[str]:
+    """A full text with other addresses and schemes of links, without its appendix, and without numbers of clauses."""
+    out = [text, *(ADDRESS.sub(a, text) for a in ADDRESSES)]
+    out += [t.replace("https://", "http://") for t in out] + [t.replace("http://", "https://") for t in out]
+    for mark in ("END OF TERMS AND CONDITIONS", "\nExhibit A - Source Code Form License Notice", "\n=======================================================================\n\nCreative Commons is not a party"):
+        if mark in text:
+            out += [t[: t.index(mark)] for t in out] + ([t[: t.index(mark) + len(mark)] for t in out] if mark.startswith("END") else [])
+    return out
+
+
+def full_texts() -> list[tuple[str, str]]:
+    files = {p.stem: p.read_text("utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+    out = [(i, form) for i, text in files.items() for form in forms(text)]
+    two = files["BSD-2-Clause"]
+    for i, titles, text in (("BSD-2-Clause", NAMES["BSD-2-Clause"], two), ("BSD-3-Clause", NAMES["BSD-3-Clause"], two.replace("\n\nTHIS SOFTWARE", f"\n\n{BSD_3}\n\nTHIS SOFTWARE"))):
+        for form in (text, text.replace("HOLDER OR CONTRIBUTORS", "OWNER OR CONTRIBUTORS"), text.replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR")):
+            for plain in (form, re.sub(r"(?m)^\d\. ", "* ", form)):
+                out += [(i, plain), *((i, f"{prefix}{title}\n\n{plain}") for title in titles for prefix in ("", "The "))]
+    for i, (begin, end) in HEADERS.items():
+        text = files[i]
+        at = text.index(begin, len(text) // 2)
+        header = text[at : text.index(end, at) + len(end)]
+        out += [(i, header), (i, header.replace("http://", "https://"))]
+    return out
+
+
+def one_liners() -> list[tuple[str, str]]:
+    starts = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under", "Available under")
+    out = [(i, f"{start} {the}{name}.") for i, names in NAMES.items() for name in names for start in starts for the in ("", "the ")]
+    versions = [i for i in NAMES if i not in ("GPL", "LGPL", "AGPL")]
+    for i in versions:
+        out += [(i, f"SPDX-License-Identifier: {i}{tail}") for tail in (("", "-only", "-or-later", "+") if "GPL" in i else ("",))]
+    return out
+
+
+KNOWN = tuple(dict.fromkeys([*NOTICES, *full_texts(), *one_liners()]))
 SPELLINGS = (("licence", "license"), ("favour", "favor"), ("organisation", "organization"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("merchantibility", "merchantability"))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,11 +144,14 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     spark = docs.sparkSession
     known = catalogue(spark) if known is None else known
     known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    # The list of licences is a fixed table, not data, so it is broadcast as one map.
-    table = F.broadcast(known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("known")))
+    # The list of licences is a fixed table, not data: its digests become a hashed set in the plan, and the few that are met look up their id.
+    table = known.collect()
+    ids = F.map_from_arrays(*(F.split(F.lit(",".join(r[k] for r in table)), ",") for k in ("digest", "license_id")))
+    known_digests = ",".join(repr(r["digest"]) for r in table) or "NULL"
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("text_digest"), F.split(text, "\n").alias("lines")).join(table)
-    digests = F.transform("lines", lambda x: F.element_at("known", F.sha2(canonical(x), 256)))
-    rows = rows.withColumn("hits", F.filter(digests, lambda x: x.isNotNull())).withColumn("whole", F.element_at("known", F.col("text_digest")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("text_digest"), F.split(text, "\n").alias("lines"))
+    rows = rows.withColumn("digests", F.transform("lines", lambda x: F.sha2(canonical(x), 256)))
+    rows = rows.withColumn("hits", F.transform(F.expr(f"filter(digests, x -> x IN ({known_digests}))"), lambda x: F.element_at(ids, x)))
+    rows = rows.withColumn("whole", F.when(F.expr(f"text_digest IN ({known_digests})"), F.element_at(ids, F.col("text_digest"))))
     every = F.array_sort(F.array_distinct(F.filter(F.concat("hits", F.array("whole")), lambda x: x.isNotNull())))
     return rows.select("doc_id", "text_digest", F.coalesce("whole", F.lit("")).alias("whole_license"), F.size("hits").cast("long").alias("n_notices"), F.array_join(every, ",").alias("licenses"))
