@@ -98,3 +98,11 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select s from hops where start = timestamp'2024-01-01 00:10:00'").first()[0] == sum(range(10, 20))
+
+
+def test_neighbourhoods_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 4)
+    df = seconds(spark, 60)
+    got = SeriesPipeline([SeriesProcessor(P.median_filter, "v", size=25)]).process(df, return_df=True).toPandas().sort_values("ts")
+    v = np.arange(60.0)
+    assert got.v.tolist() == [np.median(v[max(0, k - 12) : k + 13]) for k in range(60)]

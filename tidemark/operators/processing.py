@@ -292,10 +292,14 @@ def interpolate(s: Series) -> Series:
     return _with(s, df, F.coalesce("__v", line, F.when(n.isNull(), p["v"])))
 
 
+#: Positions of a slice.
+SLICE = 4096
+
+
 def _frame(s: Series, before: int, after: int) -> DataFrame:
     """Rows with the array of their neighbours' values by position; slices of positions borrow rows at their edges."""
     df = ordering.with_position(_numbered(s), "__t", "__n", s.keys)
-    cut = 4096
+    cut = max(SLICE, before, after)  # so that a neighbourhood reaches the next slice at most
     own = df.withColumn("__part", F.floor(F.col("__n") / cut)).withColumn("__own", F.lit(True))
     edge = lambda to: own.where((F.floor((F.col("__n") + to) / cut)) != F.col("__part")).withColumn("__part", F.floor((F.col("__n") + to) / cut)).withColumn("__own", F.lit(False))
     rows = own
