@@ -2,39 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship_package
-
+from ..runtime import discard, fresh_name, ship_package
+from ..runtime import write_once as materialize
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["discard", "fresh_name", "map_batches", "materialize", "numbered", "text_batches", "text_of"]
 
 
-def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def numbered(df: DataFrame, scratch: str) -> tuple[DataFrame, str]:
+    """``df`` written once with a row number, and the number's column name, which ``df`` does not use.
 
-    The written files are the recovery point: later stages reread them instead
-    of recomputing, and values that depend on where a row was processed
-    (partition numbers, local ranks) are fixed from here on.  The files go when
-    the driver's JVM ends.
+    Written, since numbers that depend on the place of a row must not change if
+    a lost executor's work is done again.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.option("compression", "zstd").parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(out.schema).parquet(path)
+    row = fresh_name(df, "row_no")
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), scratch), row
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
@@ -45,7 +29,7 @@ def map_batches(df: DataFrame, function, schema) -> DataFrame:
 
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty string."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
 def text_batches(batches, size: int = 16 << 20):
