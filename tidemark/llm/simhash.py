@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import map_batches, materialize, text_batches, text_of
+from .shared import fresh_name, map_batches, materialize, numbered, text_batches, text_of
 
 SEED = 42
 SEGMENTS, WIDTH = 16, 4
@@ -47,16 +47,17 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long); null text is empty and has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, row: str | None = None) -> DataFrame:
+    """doc_id, row_no and fp (the fingerprint as a signed long); null text is empty and has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            prints = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            prints = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "row_no", "fp"])
 
-    ids = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return map_batches(ids, run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, fp long")
+    number = F.col(f"`{row}`") if row else F.monotonically_increasing_id()
+    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id"), number.alias("row_no"), text_of(text_col).alias("text"))
+    return map_batches(ids, run, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, row_no long, fp long")
 
 
 def cell_of(fp: Column) -> Column:
@@ -83,30 +84,41 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return a.join(b, "cell").where((F.col("a") < F.col("b")) & near & meet).select("a", "b").distinct()
 
 
+def decide(docs: DataFrame, id_col: str, text_col: str, words: int, max_distance: int, row: str | None = None) -> DataFrame:
+    """row_no, doc_id, fp and least (its component's smallest id, with the row that has it) of every row."""
+    prints = materialize(fingerprints(docs, id_col, text_col, words, row), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), F.col("row_no").alias("row_no"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("least")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
+    # Only prints that link to another one have a root; all others are components by themselves.
+    linked = nodes.join(roots, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("first"))
+    moved = linked.join(least, "root").select("fp", "first")
+    placed = nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("least"))
+    return prints.join(placed, "fp").select("row_no", "doc_id", "fp", "least")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (the smallest id reachable over links).
 
     Rows with one fingerprint are one node.  Texts without words have
     fingerprint zero and link like any others; null ids stay null and are never
     a component's smallest unless it has no other; repeated rows and ties share
-    a component; an empty table gives an empty result.
+    a component; an empty table gives an empty result; other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, words), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
-    tree = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tree = materialize(tree, "simhash-tree")
-    least = tree.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = tree.join(least, "root").select("fp", "component_id")
-    return prints.join(placed, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return decide(docs, id_col, text_col, words, max_distance).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id")
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose id is their component's smallest."""
-    placed = near_duplicates(docs, id_col, text_col, words, max_distance)
-    stay = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id")).distinct()
-    keys = {"__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0))}
-    return docs.withColumns(keys).join(stay, list(keys), "left_semi").drop(*keys)
+    """The rows of ``docs``, with their columns, that stay: one of each component, of its smallest id.
+
+    Null ids come last, and of rows with one id one stays, since rows are told
+    apart by a written number; columns may have any names; an empty table gives
+    an empty result.
+    """
+    rows, row = numbered(docs, "simhash-rows")
+    mark = fresh_name(rows, "stays")
+    stay = decide(rows, id_col, text_col, words, max_distance, row).where("row_no = least.row_no").select(F.col("row_no").alias(mark))
+    return rows.join(stay, F.col(f"`{row}`") == F.col(mark), "left_semi").drop(row)
