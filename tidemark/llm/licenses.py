@@ -63,6 +63,11 @@ NAMES = {
     "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPL"),
     **{f"CC-{c}-4.0": (f"CC {c} 4.0", f"CC {c} 4.0 International", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 License", f"Creative Commons {n} 4.0") for c, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
     "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"),
+    "MIT-0": ("MIT No Attribution License", "MIT-0 License"),
     "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
 }
 #: Standard headers: (marks of begin and end in the full text).
@@ -89,6 +94,10 @@ def forms(text: str) -> list[str]:
 def full_texts() -> list[tuple[str, str]]:
     files = {p.stem: p.read_text("utf-8") for p in sorted(TEXTS.glob("*.txt"))}
     out = [(i, form) for i, text in files.items() for form in forms(text)]
+    # Texts that come with or without their title.
+    for i, titles in (("0BSD", ("Zero-Clause BSD", "BSD Zero Clause License")), ("MIT-0", ("MIT No Attribution",)), ("Zlib", ("The zlib License", "zlib/libpng License"))):
+        body = files[i].removeprefix("zlib License\n\n")
+        out += [(i, body), *((i, f"{t}\n\n{body}") for t in titles)]
     two = files["BSD-2-Clause"]
     for i, titles, text in (("BSD-2-Clause", NAMES["BSD-2-Clause"], two), ("BSD-3-Clause", NAMES["BSD-3-Clause"], two.replace("\n\nTHIS SOFTWARE", f"\n\n{BSD_3}\n\nTHIS SOFTWARE"))):
         for form in (text, text.replace("HOLDER OR CONTRIBUTORS", "OWNER OR CONTRIBUTORS"), text.replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR")):
@@ -127,11 +136,19 @@ def canonical(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """license_id and digest of the known texts (as many rows as the fixed list has)."""
+    """license_id and digest of the known texts (as many rows as the fixed list has).
+
+    A text known under two ids keeps both here; the scan takes the smaller one.
+    An empty list gives an empty table.
+    """
     texts = spark.createDataFrame(list(known), "license_id string, known string")
     return texts.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).distinct()
 
 
+#: Rows of a catalogue whose join is broadcast, at most (96 bytes each); a larger one is shuffled.
+CATALOGUE_ROWS = 200_000
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_digest, whole_license, n_notices, licenses: one row per document row.
 
@@ -140,18 +157,24 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     their ids, sorted, comma-joined ("" if none).  Null text counts as empty; the
     empty canonical text matches nothing; null ids and repeated rows keep a row
     each; an empty table gives an empty result; other columns are ignored.
+    ``known`` (license_id, digest) replaces the catalogue.
     """
-    spark = docs.sparkSession
-    known = catalogue(spark) if known is None else known
-    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    # The list of licences is a fixed table, not data: its digests become a hashed set in the plan, and the few that are met look up their id.
-    table = known.collect()
-    ids = F.map_from_arrays(*(F.split(F.lit(",".join(r[k] for r in table)), ",") for k in ("digest", "license_id")))
-    known_digests = ",".join(repr(r["digest"]) for r in table) or "NULL"
+    known = catalogue(docs.sparkSession) if known is None else known
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy(F.unhex("digest").alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = known.hint("broadcast" if known.count() <= CATALOGUE_ROWS else "shuffle_hash")
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(text), 256).alias("text_digest"), F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("digests", F.transform("lines", lambda x: F.sha2(canonical(x), 256)))
-    rows = rows.withColumn("hits", F.transform(F.expr(f"filter(digests, x -> x IN ({known_digests}))"), lambda x: F.element_at(ids, x)))
-    rows = rows.withColumn("whole", F.when(F.expr(f"text_digest IN ({known_digests})"), F.element_at(ids, F.col("text_digest"))))
-    every = F.array_sort(F.array_distinct(F.filter(F.concat("hits", F.array("whole")), lambda x: x.isNotNull())))
-    return rows.select("doc_id", "text_digest", F.coalesce("whole", F.lit("")).alias("whole_license"), F.size("hits").cast("long").alias("n_notices"), F.array_join(every, ",").alias("licenses"))
+    digest = lambda t: F.unhex(F.sha2(canonical(t), 256))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    # The whole text comes first and stays in any case; the lines are joined and only those that are known go on.
+    rows = rows.select("row", "doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("place", "part"))
+    rows = rows.select("row", "doc_id", (F.col("place") == 0).alias("whole"), digest(F.col("part")).alias("digest"))
+    met = rows.join(known, "digest", "left").where(F.col("whole") | F.col("license_id").isNotNull())
+    whole = F.col("whole")
+    out = met.groupBy("row").agg(
+        F.max(F.when(whole, F.struct("doc_id"))).alias("d"),
+        F.max(F.when(whole, F.col("digest"))).alias("text_digest"),
+        F.max(F.when(whole, F.col("license_id"))).alias("whole_license"),
+        F.count_if(~whole).alias("n_notices"),
+        F.collect_set("license_id").alias("ids"),
+    )
+    return out.select("d.doc_id", F.lower(F.hex("text_digest")).alias("text_digest"), F.coalesce("whole_license", F.lit("")).alias("whole_license"), "n_notices", F.array_join(F.array_sort("ids"), ",").alias("licenses"))
