@@ -4,8 +4,13 @@ Layer 0 is the text itself.  A worklist unwraps URL escapes, Unicode escapes,
 base64 and zlib or gzip data until nothing decodes any more; a digest of every
 layer seen on the way stops cycles.  Escapes are decoded in place, so their
 layer is the whole layer above and a find may mix decoded and plain characters.
-Bytes are scanned whatever they hold.  Each layer is rescanned, and every decoded character knows the stretch of the
-text it came from, so that finds map back.
+Bytes are scanned whatever they hold.  Each layer is rescanned, and every
+decoded character knows the stretch of the text it came from, so that finds map
+back.
+
+Every step takes time in proportion to its layer.  Escapes within escapes beyond
+``DEEP`` layers are decoded to the end in one pass, and compressed data of any
+size are scanned in windows that overlap, one at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +19,6 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,7 +34,9 @@ ASSIGN = re.compile(
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
-ANY_ASSIGN = re.compile(f"(?=({ASSIGN.pattern}))")
+#: An assignment up to its value, and the rest of a value.
+HEAD = re.compile(ASSIGN.pattern.rpartition("(")[0] + "(?=[A-Za-z0-9+/_.=-])")
+VALUE = re.compile("[A-Za-z0-9+/_.=-]*")
 ASSIGN_LEAST = 6
 # A run of fewer characters fails as a whole, so asking for the length at once finds the same matches.
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")
@@ -38,7 +44,7 @@ HEX = re.compile("[0-9a-f]{24,}")
 
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 #: Strings of strings double the backslash, so all those in front go.
-ESCAPED = re.compile(r"\\+(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
+ESCAPED = re.compile(r"(?<!\\)\\+(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
 BOTH = re.compile(f"{URL.pattern}|{ESCAPED.pattern}")
 #: A run of base64 from its first character on, line breaks included.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-](?:[ \t]*\r?\n[ \t]*)?){16,}+={0,2}")
@@ -54,8 +60,10 @@ PACKED = re.compile(
     b"|".join([rb"\x1f\x8b\x08", *(b"%s[%s]" % (re.escape(bytes([c])), b"".join(re.escape(bytes([f])) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32)) for c in range(8, 128, 16))]),
     re.DOTALL,
 )
-#: Bytes that a compressed layer may unfold to; a bomb beyond it is left packed.
-UNFOLD_LIMIT = 64 << 20
+#: Layers of escapes within escapes that are scanned one by one.
+DEEP = 12
+#: Unfolded bytes that are scanned at a time, and how many of them again with the next ones.
+WINDOW, OVERLAP = 32 << 20, 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -68,7 +76,12 @@ def find(text: str) -> list[Span]:
 
 def find_all(text: str) -> list[Span]:
     """Finds in a decoded layer; an assignment may begin inside of another one, whose value would hide it."""
-    out = [("assign", *m.span(1)) for m in ANY_ASSIGN.finditer(text) if m.end(3) - m.start(3) >= ASSIGN_LEAST]
+    out, end = [], 0
+    for m in HEAD.finditer(text):
+        if m.end() >= end:  # else it is in the run of value characters whose end is known
+            end = VALUE.match(text, m.end()).end()
+        if end - m.end() >= ASSIGN_LEAST:
+            out.append(("assign", m.start(), end))
     return sorted(out + runs(text), key=order)
 
 
@@ -82,11 +95,16 @@ def order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
 class Layer:
     """Decoded text and where its characters came from in the document: their starts and ends (never falling), one place for all, or neither in the document itself."""
 
     def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, place: tuple[int, int] | None = None):
         self.text, self.starts, self.ends, self.place = text, starts, ends, place
+        self.differ: np.ndarray | None = None
         #: Whether its compressed data are layers already, or it is the document, which cannot hold any.
         self.unpacked = starts is None and place is None
 
@@ -102,6 +120,20 @@ class Layer:
         first, last = np.asarray(first, np.int64), np.asarray(last, np.int64)
         return Layer(text, first, last + 1) if self.starts is None else Layer(text, self.starts[first], self.ends[last])
 
+    def changed(self, document: np.ndarray, start: int, end: int) -> bool:
+        """Whether a stretch is other characters than its place in the document (code points), so something in it was decoded."""
+        if self.place is not None:
+            return True
+        if self.differ is None:
+            here = code_points(self.text)
+            same = (self.ends - self.starts == 1) & (document[self.starts] == here)
+            same[1:] &= self.starts[1:] == self.ends[:-1]  # the characters of one base64 group share bits
+            self.differ = np.r_[0, np.cumsum(~same)]
+        return bool(self.differ[end] - self.differ[start + 1]) or not self.same_first(document, start)
+
+    def same_first(self, document: np.ndarray, start: int) -> bool:
+        return bool(self.ends[start] - self.starts[start] == 1 and document[self.starts[start]] == ord(self.text[start]))
+
     def mark(self) -> bytes:
         digest = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
         for part in (self.starts, self.ends, repr(self.place).encode()):
@@ -109,29 +141,75 @@ class Layer:
         return digest.digest()
 
 
-def unfold(raw: bytes, at: int) -> tuple[bytes, int]:
-    """The zlib or gzip data that begin at a place, as far as they can be read, and where they end (the place itself if they do not end)."""
-    out, machine = b"", zlib.decompressobj(47)
-    try:
-        out = machine.decompress(raw[at:], UNFOLD_LIMIT)
-    except zlib.error:
-        return b"", at
-    if machine.unconsumed_tail:
-        return b"", at
-    return out, len(raw) - len(machine.unused_data) if machine.eof else at
+BROKEN = -1
+
+
+def unfolded(raw: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the zlib or gzip data that begin at a place, each with the place where the data end if they do so there, else 0.
+
+    Further gzip members go on with the data of the first one.  Data that are
+    cut off give what there is; ``BROKEN`` as the place tells that what came
+    since the last end was not such data, as is the case after most headers.
+    """
+    view, first = memoryview(raw), at
+    while True:
+        machine, step = zlib.decompressobj(47), 256  # most places that look like a header fail at once
+        try:
+            while at < len(raw) and not machine.eof:
+                fed = view[at : at + step]
+                at, step = at + len(fed), 1 << 16
+                while len(fed) and not machine.eof:
+                    out = machine.decompress(fed, WINDOW // 4)
+                    fed = machine.unconsumed_tail
+                    yield out, 0
+                    if not out and not fed:
+                        break
+        except zlib.error:
+            yield b"", BROKEN
+            return
+        if not machine.eof:
+            return
+        at -= len(machine.unused_data)
+        yield b"", at
+        if raw[first : first + 2] != b"\x1f\x8b" or raw[at : at + 3] != b"\x1f\x8b\x08":
+            return
+
+
+def windows(raw: bytes, at: int, size: int) -> Iterator[bytes]:
+    """The first ``size`` unfolded bytes in overlapping windows."""
+    held, fresh = bytearray(), 0
+    for out, _ in unfolded(raw, at):
+        out, size = out[:size], size - len(out)
+        held += out
+        fresh += len(out)
+        if len(held) >= WINDOW:
+            yield bytes(held)
+            del held[:-OVERLAP]
+            fresh = 0
+        if size <= 0:
+            break
+    if fresh:
+        yield bytes(held)
 
 
 def unpack(layer: Layer, raw: bytes, tail: tuple[int, int] | None = None) -> Iterator[Layer]:
     """The compressed data anywhere in a layer's bytes; ``tail`` is the place that follows the last byte, padding included."""
     at = 0
     while m := PACKED.search(raw, at):
-        out, end = unfold(raw, m.start())
+        size, whole, end = 0, 0, m.start()
+        for out, ended in unfolded(raw, m.start()):
+            size += len(out)
+            if ended == BROKEN:
+                size = whole
+            elif ended:
+                whole, end = size, ended
         at = max(end, m.start() + 1)
-        if out:
+        if size:
             start, stop = layer.source(m.start(), end if end > m.start() else len(raw))
             if tail and end in (m.start(), len(raw)):
                 stop = tail[1]
-            yield Layer(out.decode("latin-1"), place=(start, stop))
+            for window in windows(raw, m.start(), size):
+                yield Layer(window.decode("latin-1"), place=(start, stop))
 
 
 def in_place(layer: Layer, pattern: re.Pattern) -> Layer | None:
@@ -140,25 +218,67 @@ def in_place(layer: Layer, pattern: re.Pattern) -> Layer | None:
     Each escape becomes one character, bytes as Latin-1: all patterns are ASCII,
     so the bytes of other characters need not be put together.
     """
-    text, first, last, at = [], [], [], 0
-    mapped = layer.place is None
+    text, spans, at = [], [], 0
     for m in pattern.finditer(layer.text):
         a, b = m.span()
         code = int(layer.text[a:b].lstrip("\\%ux"), 16)
         text += [layer.text[at:a], "\ufffd" if 0xD800 <= code < 0xE000 else chr(code)]
-        if mapped:
-            first += [*range(at, a), a]
-            last += [*range(at, a), b - 1]
+        spans.append((a, b))
         at = b
     if not at:
         return None
     text.append(layer.text[at:])
-    if mapped:
-        first += range(at, len(layer.text))
-        last += range(at, len(layer.text))
+    if layer.place is not None:
+        return layer.derive("".join(text), (), ())
+    a, b = np.array(spans, np.int64).T
+    steps = np.zeros(len(layer.text) + 1, np.int32)
+    np.add.at(steps, a + 1, 1)
+    np.add.at(steps, b, -1)
+    first = np.nonzero(np.cumsum(steps[:-1]) == 0)[0]
+    last = first.copy()
+    last[np.searchsorted(first, a)] = b - 1
     return layer.derive("".join(text), first, last)
 
 
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+
+def settle(layer: Layer, kinds: tuple[str, ...]) -> Layer | None:
+    """The whole layer with all escapes decoded until none is left, in one pass, None if it has none.
+
+    Characters go on a stack; as soon as its top is an escape, the decoded
+    character takes its place, and may complete the next one.
+    """
+    chars: list[str] = []
+    first: list[int] = []
+    last: list[int] = []
+    decoded = False
+
+    def cut(n: int, code: int, end: int) -> None:
+        start = first[-n]
+        del chars[-n:], first[-n:], last[-n:]
+        chars.append("\ufffd" if 0xD800 <= code < 0xE000 else chr(code))
+        first.append(start)
+        last.append(end)
+
+    for i, c in enumerate(layer.text):
+        chars.append(c)
+        first.append(i)
+        last.append(i)
+        while chars[-1] in HEX_DIGITS:
+            if "url" in kinds and len(chars) > 2 and chars[-3] == "%" and chars[-2] in HEX_DIGITS:
+                cut(3, int("".join(chars[-2:]), 16), i)
+            elif "escaped" in kinds and (n := next((k for k, sign in ((2, "x"), (4, "u")) if len(chars) > k + 1 and chars[-k - 1] == sign and chars[-k - 2] == "\\" and HEX_DIGITS.issuperset(chars[-k:])), 0)):
+                code, size = int("".join(chars[-n:]), 16), n + 1
+                while size < len(chars) and chars[-size - 1] == "\\":
+                    size += 1
+                cut(size, code, i)
+            else:
+                break
+            decoded = True
+    return layer.derive("".join(chars), first, last) if decoded else None
+
+
 def from_base64(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
     """What a run holds from each of its four alignments on, as bytes in Latin-1, and the compressed data in it.
 
@@ -175,7 +295,8 @@ def from_base64(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
         if not worth and not PACKED.search(raw):
             continue
         if places is None:
-            places = np.array([begin + i for i, c in enumerate(run) if not c.isspace()])
+            codes = np.frombuffer(run.encode("ascii"), np.uint8)
+            places = begin + np.nonzero(codes > 32)[0]
         byte = np.arange(len(raw))
         inner = layer.derive(raw.decode("latin-1"), places[k + byte * 4 // 3], places[k + byte * 4 // 3 + 1])
         inner.unpacked = True
@@ -184,44 +305,57 @@ def from_base64(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
             yield inner
 
 
-def children(layer: Layer, how: str) -> Iterator[tuple[Layer, str]]:
-    """The layers one step below, and how they go on.
+def children(layer: Layer, how: str, chain: int) -> Iterator[tuple[Layer, str, int]]:
+    """The layers one step below, how they go on, and how many steps of escapes led to them.
 
     All escapes are decoded at once, and the two kinds also apart, since one may
     cut what the other completes.  A layer of one kind goes on with that kind, so
     layers do not multiply with every order of decoding.
     """
-    kinds = [k for k, sign in (("url", "%"), ("escaped", "\\")) if how in ("both", k) and sign in layer.text]
-    inner = {k: got for k in kinds if (got := in_place(layer, {"url": URL, "escaped": ESCAPED}[k]))}
-    if len(inner) == 2:
-        yield in_place(layer, BOTH), "both"
-        yield from ((got, k) for k, got in inner.items())
+    kinds = tuple(k for k, sign in (("url", "%"), ("escaped", "\\")) if how in ("both", k) and sign in layer.text)
+    if chain >= DEEP:
+        if kinds and (got := settle(layer, ("url", "escaped") if how == "both" else (how,))):
+            yield got, how, chain
     else:
-        yield from ((got, how) for got in inner.values())
+        inner = {k: got for k in kinds if (got := in_place(layer, {"url": URL, "escaped": ESCAPED}[k]))}
+        if len(inner) == 2:
+            yield in_place(layer, BOTH), "both", chain + 1
+            yield from ((got, k, chain + 1) for k, got in inner.items())
+        else:
+            yield from ((got, how, chain + 1) for got in inner.values())
     for m in BASE64.finditer(layer.text):
         if "\n" in m[0]:
             for line in BASE64_LINE.finditer(layer.text, *m.span()):
-                yield from ((got, "both") for got in from_base64(layer, *line.span()))
-        yield from ((got, "both") for got in from_base64(layer, *m.span()))
+                yield from ((got, "both", 0) for got in from_base64(layer, *line.span()))
+        yield from ((got, "both", 0) for got in from_base64(layer, *m.span()))
     if not layer.unpacked:
-        yield from ((got, "both") for got in unpack(layer, layer.text.encode("latin-1", "replace")))
+        yield from ((got, "both", 0) for got in unpack(layer, layer.text.encode("latin-1", "replace")))
 
 
 def scan(text: str) -> list[tuple[str, int, int, int]]:
-    """All finds as (kind, start, end, depth); those of depth 0 are in the text itself."""
+    """All finds as (kind, start, end, depth); those of depth 0 are in the text itself.
+
+    The worklist is a stack of what is yet to come of each layer, so one layer of
+    each depth is held at a time.
+    """
     found = {span: 0 for span in find(text)}
-    seen, work = set(), deque([(Layer(text), "both", 0)])
+    document: np.ndarray | None = None
+    seen, work = set(), [children(Layer(text), "both", 0)]
     while work:
-        layer, how, depth = work.popleft()
-        for inner, onward in children(layer, how):
-            if (mark := (inner.mark(), onward)) in seen:
-                continue
-            seen.add(mark)
-            for kind, a, b in find_all(inner.text):
+        step = next(work[-1], None)
+        if step is None:
+            work.pop()
+            continue
+        inner, onward, chain = step
+        if (mark := (inner.mark(), onward)) in seen:
+            continue
+        seen.add(mark)
+        for kind, a, b in find_all(inner.text):
+            document = code_points(text) if document is None else document
+            if inner.changed(document, a, b):
                 start, end = inner.source(a, b)
-                if text[start:end] != inner.text[a:b]:  # else nothing in it was decoded
-                    found.setdefault((kind, start, end), depth + 1)
-            work.append((inner, onward, depth + 1))
+                found[kind, start, end] = min(found.get((kind, start, end), len(work)), len(work))
+        work.append(children(inner, onward, chain))
     return [(*span, found[span]) for span in sorted(found, key=order)]
 
 
