@@ -158,8 +158,11 @@ def build(texts: list[str], y: np.ndarray, rank: int = RANK, seed: int = 7) -> S
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE) -> Space:
-    """The space and voters of ``limit`` labelled documents at most (a hash of ids picks them)."""
-    sample = labelled_sample(docs, labels, label, usable, limit, id_col, text_col).toArrow().sort_by([("text", "ascending")])
+    """The space and voters of ``limit`` labelled documents at most (a hash of ids picks them; see ``labelled_sample``).
+
+    Without any usable label the space is empty and votes 0.5.
+    """
+    sample = labelled_sample(docs, labels, label, usable, limit, id_col, text_col).toArrow().sort_by([("at", "ascending")])
     return build(sample.column("text").to_pylist(), sample.column("y").to_numpy().astype(int))
 
 
@@ -177,7 +180,12 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1) -> DataFrame:
-    """Scores of all documents from voters that exclude the ids with crc32(doc_id) mod ``modulus`` = ``held``."""
+    """doc_id, held_out, score and predicted of all rows, from voters that exclude the ids with crc32(doc_id) mod ``modulus`` = ``held``.
+
+    Null and empty texts score the labels' mean; a null id is not held out;
+    repeated rows get a row each; labels of unknown ids and null labels do not
+    count; an empty table gives an empty result; other columns are ignored.
+    """
     space = fit(docs, labels, lambda: fold("doc_id", modulus) != held)
     return score(docs, space).select(
         "doc_id", F.coalesce(fold("doc_id", modulus) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -160,14 +160,17 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score"
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model of ``limit`` labelled documents at most (a hash of ids picks them)."""
+    """The model of ``limit`` labelled documents at most (a hash of ids picks them; see ``labelled_sample``).
+
+    Without usable labels, or with one kind only, the model gives all sentences the same score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
-            docs = [np.array([[*features(w), is_end(w)] for w in tokens_of(t)], "<i4").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), batch.column(1)], ["tokens", "y"])
+            docs = [np.array([[*features(w), is_end(w)] for w in tokens_of(t)], "<i4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(docs, pa.binary()), batch.column(2)], ["at", "tokens", "y"])
 
-    sample = map_batches(labelled_sample(docs, labels, label, usable, limit, id_col, text_col), run, "tokens binary, y int").toArrow()
+    sample = map_batches(labelled_sample(docs, labels, label, usable, limit, id_col, text_col), run, "at int, tokens binary, y int").toArrow().sort_by([("at", "ascending")])
     docs = [np.frombuffer(c, "<i4").reshape(-1, PER_WORD + 1) for c in sample.column("tokens").to_pylist()]
     return train(docs, sample.column("y").to_numpy().astype(int))
 
@@ -198,7 +201,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
-    """Scores of all documents from a model that never saw the ids with crc32(doc_id) mod ``modulus`` = ``held``."""
+    """doc_id, held_out, score, predicted and sentences of all rows, from a model that never saw the ids with crc32(doc_id) mod ``modulus`` = ``held``.
+
+    Null and empty texts score 0; a null id is not held out; repeated rows get a
+    row each; labels of unknown ids and null labels do not count; an empty table
+    gives an empty result; other columns are ignored.
+    """
     model = fit(docs, labels, lambda: fold("doc_id", modulus) != held)
     scored = score(docs, model)
     return scored.select(
