@@ -3,11 +3,17 @@
 ``NaN`` policy: windows see values as arrays do (NaN propagates), groups of
 ``group_by_all`` as labelled series do (NaN is skipped, except by the median).
 Empty windows: sum 0, count 0, else NaN.
+
+Functions with an entry in ``FROM_PARTS`` can also be made from aggregates of
+panes, the gap-free stretches that windows are unions of.  Functions of two
+series pair their values by position in the window (``PAIRED``) or aggregate
+each series by itself (``APART``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 
 import numpy as np
 from pyspark.sql import Column
@@ -94,6 +100,68 @@ def _quantile(t, v, p, time, q=0.5, **_):
     return [F.coalesce(guarded(v, p, got[i]), F.lit(NAN)) for i in range(len(qs))]
 
 
+def _index_mass_quantile(t, v, p, time, q=0.5, **_):
+    """Share of the window, by position, that has passed when a share ``q`` of the absolute mass has."""
+    sizes = F.transform(ordered(t, v), F.abs)
+    steps = F.aggregate(sizes, F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n")), lambda s, x: F.struct((s["mass"] + x).alias("mass"), (s["n"] + F.when(s["mass"] + x < F.lit(q) * total(sizes), 1).otherwise(0)).alias("n")))
+    return [F.when(total(sizes) > 0, F.least(steps["n"] + 1, F.size(sizes)) / F.size(sizes))]
+
+
+def _autocorrelation(t, v, p, time, lag=1, **_):
+    """Mean product of deviations ``lag`` samples apart, by the population variance."""
+    a = ordered(t, v)
+    n = F.size(a) - lag
+    middle = mean_of(a)
+    products = F.zip_with(F.slice(a, 1, F.greatest(n, F.lit(0))), F.slice(a, lag + 1, F.greatest(n, F.lit(0))), lambda x, y: (x - middle) * (y - middle))
+    return [F.when(n > 0, F.try_divide(total(products) / n, spread_of(a) * spread_of(a)))]
+
+
+def _peaks(t, v, p, time, n=1, **_):
+    """Values larger than each of their ``n`` neighbours on both sides."""
+    a = ordered(t, v)
+    inside = F.when(F.size(a) > 2 * n, F.sequence(F.lit(n), F.size(a) - n - 1)).otherwise(F.array().cast("array<int>"))
+    higher = lambda i: fold(lambda x, y: x & y, [(F.get(a, i) > F.get(a, i + k)) & (F.get(a, i) > F.get(a, i - k)) for k in range(1, n + 1)])
+    return [F.size(F.filter(inside, higher))]
+
+
+def _value_entropy(t, v, p, time, **_):
+    """Shannon entropy (bits) of the distinct values' shares, by the number of distinct values' bits; 0 for one value."""
+    a = F.array_sort(F.collect_list(kept(v, p)))
+    n = F.size(a)
+    distinct = F.array_distinct(a)
+    shares = F.transform(distinct, lambda x: F.size(F.filter(a, lambda y: y == x)) / n)
+    bits = -total(F.transform(shares, lambda x: x * F.log2(x)))
+    return [F.when(F.size(distinct) > 1, bits / F.log2(F.size(distinct))).when(n > 0, F.lit(0.0))]
+
+
+def _binned_entropy(t, v, p, time, bins=10, **_):
+    """Shannon entropy (nats) of the shares of equal bins from the smallest to the largest value."""
+    a = F.array_sort(F.collect_list(kept(v, p)))
+    low, high, n = F.element_at(a, 1), F.element_at(a, -1), F.size(a)
+    place = lambda x: F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1).cast("long"))
+    shares = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(a, lambda x: place(x) == k)) / n), lambda x: x > 0)
+    return [F.when(n == 0, F.lit(None).cast("double")).when(low == high, F.lit(0.0)).otherwise(-total(F.transform(shares, lambda x: x * F.log(x))))]
+
+
+def _histogram(t, v, p, time, bins=10, low=0.0, high=1.0, **_):
+    """Counts of ``bins`` equal bins of [low, high], the last one closed."""
+    x, width = number(v), (high - low) / bins
+    place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1).cast("long"))
+    return [F.count_if((x >= F.lit(low)) & (x <= F.lit(high)) & (place == k)) for k in range(bins)]
+
+
+def _relative_slope(t, v, p, time, **_):
+    first, last = F.min_by(number(v), t), F.max_by(number(v), t)
+    return [F.when(first == 0, F.lit(0.0)).otherwise((last - first) / first)]
+
+
+def _area_under_curve(t, v, p, time, **_):
+    """Trapezoids over the index (seconds for times)."""
+    pairs = F.array_sort(F.collect_list(F.struct(t.alias("t"), number(v).alias("v"))))
+    n = F.greatest(F.size(pairs) - 1, F.lit(0))
+    return [total(F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 2, n), lambda x, y: (x["v"] + y["v"]) / 2 * seconds(y["t"] - x["t"], time)))]
+
+
 def _category_counts(t, v, p, time, categories=(), **_):
     return [F.count_if(v.cast("string") == str(c)) for c in categories]
 
@@ -106,7 +174,7 @@ NATIVE: dict[str, tuple] = {
     "abs_energy": (["abs_energy"], lambda t, v, p, time, **_: [F.coalesce(F.sum(kept(v, p) * kept(v, p)), F.lit(0.0))], 0.0),
     "len": (["len"], lambda t, v, p, time, **_: [F.count(F.lit(1))], 0),
     "count": (["count"], lambda t, v, p, time, **_: [F.count(kept(v, SKIP))], 0),
-    "n_unique": (["n_unique"], lambda t, v, p, time, **_: [F.size(F.collect_set(v))], 0),
+    "n_unique": (["n_unique"], lambda t, v, p, time, **_: [F.count_distinct(v)], 0),
     "min": (["min"], _moment("min"), NAN),
     "max": (["max"], _moment("max"), NAN),
     "mean": (["mean"], _moment("avg"), NAN),
@@ -138,17 +206,97 @@ NATIVE: dict[str, tuple] = {
     "variance_larger_than_std": (["variance_larger_than_std"], lambda t, v, p, time, **_: [(F.var_pop(kept(v, p)) > F.stddev_pop(kept(v, p))).cast("double")], NAN),
     "hour_of_last": (["hour_of_last"], lambda t, v, p, time, **_: [F.hour(F.max_by(v, t))], NAN),
     "minute_of_last": (["minute_of_last"], lambda t, v, p, time, **_: [F.minute(F.max_by(v, t))], NAN),
+    "index_mass_quantile": (["index_mass_quantile"], _index_mass_quantile, NAN),
+    "autocorrelation": (["autocorrelation"], _autocorrelation, NAN),
+    "peaks": (["peaks"], _peaks, 0),
+    "value_entropy": (["value_entropy"], _value_entropy, NAN),
+    "binned_entropy": (["binned_entropy"], _binned_entropy, NAN),
+    "histogram": (["histogram"], _histogram, 0),
+    "relative_slope": (["relative_slope"], _relative_slope, NAN),
+    "auc": (["auc"], _area_under_curve, 0.0),
     "weekday_of_last": (["weekday_of_last"], lambda t, v, p, time, **_: [F.weekday(F.max_by(v, t))], NAN),
 }
 
-#: Functions of two index-aligned series: name -> (outputs, builder(a, b), empty)
+#: Functions of two series' values, paired by position: name -> (outputs, builder(a, b), empty)
 PAIRED: dict[str, tuple] = {
     "corr": (["corr"], lambda a, b: [F.coalesce(F.corr(number(a), number(b)), F.lit(NAN))], NAN),
     "dot": (["dot"], lambda a, b: [F.coalesce(F.sum(number(a) * number(b)), F.lit(0.0))], 0.0),
-    "sum_2": (["sum_2"], lambda a, b: [F.coalesce(F.sum(number(a)), F.lit(0.0)) + F.coalesce(F.sum(number(b)), F.lit(0.0))], 0.0),
     "abs_mean_diff": (["abs_mean_diff"], lambda a, b: [F.coalesce(F.avg(F.abs(number(a) - number(b))), F.lit(NAN))], NAN),
 }
-NATIVE |= {k: (v[0], None, v[2]) for k, v in PAIRED.items()}
+#: Functions of several series that put together an aggregate of each: name -> (outputs, aggregate of one, combination, empty)
+APART: dict[str, tuple] = {
+    "sum_2": (["sum_2"], lambda v: F.sum(number(v)), lambda parts: [fold(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in parts])], 0.0),
+}
+NATIVE |= {k: (v[0], None, v[2]) for k, v in PAIRED.items()} | {k: (v[0], None, v[3]) for k, v in APART.items()}
+
+#: Aggregates of panes and how they come together: name -> (of a pane's values, of panes)
+PARTS: dict[str, tuple] = {
+    "rows": (lambda v, t: F.count(F.lit(1)), F.sum),
+    "count": (lambda v, t: F.count(number(v)), F.sum),
+    "known": (lambda v, t: F.count(kept(v, SKIP)), F.sum),
+    "nan": (lambda v, t: F.coalesce(F.bool_or(F.isnan(number(v))), F.lit(False)), F.bool_or),
+    "sum": (lambda v, t: F.sum(number(v)), F.sum),
+    "nansum": (lambda v, t: F.sum(kept(v, SKIP)), F.sum),
+    "abs": (lambda v, t: F.sum(F.abs(number(v))), F.sum),
+    "square": (lambda v, t: F.sum(number(v) * number(v)), F.sum),
+    "min": (lambda v, t: F.min(number(v)), F.min),
+    "max": (lambda v, t: F.max(number(v)), F.max),
+    "begin": (lambda v, t: F.min(t), F.min),
+    "end": (lambda v, t: F.max(t), F.max),
+    "first": (lambda v, t: F.min(F.struct(t.alias("t"), number(v).alias("v"))), F.min),
+    "last": (lambda v, t: F.max(F.struct(t.alias("t"), number(v).alias("v"))), F.max),
+    "spread": (lambda v, t: F.struct(F.count(number(v)).alias("n"), F.avg(number(v)).alias("m"), (F.var_pop(number(v)) * F.count(number(v))).alias("s")), F.collect_list),
+}
+
+
+def _merged_variance(panes: Column) -> Column:
+    """Population variance from the counts, means and squared deviations of panes, added one at a time."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def add(a, b):
+        n, step = a["n"] + b["n"], b["m"] - a["m"]
+        return F.struct(n.alias("n"), (a["m"] + step * b["n"] / n).alias("m"), (a["s"] + b["s"] + step * step * a["n"] * b["n"] / n).alias("s"))
+
+    whole = F.aggregate(F.filter(panes, lambda x: x["n"] > 0), start, add)
+    return F.when(whole["n"] > 0, whole["s"] / whole["n"])
+
+
+def _or_nan(x: Column) -> Column:
+    return F.coalesce(x, F.lit(NAN))
+
+
+#: name -> (parts, value of the merged parts m): windows, so NaN propagates
+FROM_PARTS: dict[str, tuple] = {
+    "sum": (["sum"], lambda m, time: F.coalesce(m["sum"], F.lit(0.0))),
+    "nansum": (["nansum"], lambda m, time: F.coalesce(m["nansum"], F.lit(0.0))),
+    "abs_area": (["abs"], lambda m, time: F.coalesce(m["abs"], F.lit(0.0))),
+    "abs_energy": (["square"], lambda m, time: F.coalesce(m["square"], F.lit(0.0))),
+    "len": (["rows"], lambda m, time: m["rows"]),
+    "count": (["known"], lambda m, time: m["known"]),
+    "min": (["min", "nan"], lambda m, time: _or_nan(F.when(m["nan"], NAN).otherwise(m["min"]))),
+    "max": (["max", "nan"], lambda m, time: _or_nan(F.when(m["nan"], NAN).otherwise(m["max"]))),
+    "ptp": (["min", "max", "nan"], lambda m, time: _or_nan(F.when(m["nan"], NAN).otherwise(m["max"] - m["min"]))),
+    "mean": (["sum", "count"], lambda m, time: _or_nan(F.try_divide(m["sum"], m["count"]))),
+    "rms": (["square", "count"], lambda m, time: _or_nan(F.sqrt(F.try_divide(m["square"], m["count"])))),
+    "var": (["spread"], lambda m, time: _or_nan(_merged_variance(m["spread"]))),
+    "std": (["spread"], lambda m, time: _or_nan(F.sqrt(_merged_variance(m["spread"])))),
+    "first": (["first"], lambda m, time: m["first"]["v"]),
+    "last": (["last"], lambda m, time: m["last"]["v"]),
+    "time_span": (["begin", "end"], lambda m, time: seconds(m["end"] - m["begin"], time)),
+}
+
+
+def has_parts(name: str, kwargs: dict) -> bool:
+    return name in FROM_PARTS and set(kwargs) <= {"min_nb_samples", "error_val", "passthrough_nans"} and kwargs.get("passthrough_nans", True)
+
+
+def parts_of(name: str, kwargs: dict) -> list[str]:
+    return [*FROM_PARTS[name][0], *(["count"] if kwargs.get("min_nb_samples") else [])]
+
+
+def from_parts(name: str, merged: dict[str, Column], time: bool, kwargs: dict) -> Column:
+    out = FROM_PARTS[name][1](merged, time)
+    return F.when(merged["count"] >= kwargs["min_nb_samples"], out).otherwise(F.lit(kwargs.get("error_val", NAN))) if kwargs.get("min_nb_samples") else out
 
 
 def _slope_by_position(a: Column) -> Column:
@@ -164,6 +312,8 @@ def default_outputs(name: str, kwargs: dict) -> list[str]:
         return [f"quantile_{x:g}" for x in (q if isinstance(q, list | tuple) else [q])]
     if name == "category_counts":
         return [f"count_{c}" for c in kwargs.get("categories", ())]
+    if name == "histogram":
+        return [f"histogram_{k}" for k in range(kwargs.get("bins", 10))]
     return list(NATIVE[name][0])
 
 
@@ -175,7 +325,7 @@ def build(name: str, values: list[Column], t: Column, policy: str, time: bool, k
         values = [F.when(~F.isnan(number(v)), v) for v in values]
     cols = PAIRED[name][1](*values) if name in PAIRED else NATIVE[name][1](t, values[0], policy, time, **kwargs)
     if least:
-        enough = F.count(values[0]) >= least
+        enough = fold(lambda a, b: a & b, [F.count(v) >= least for v in values])
         errors = list(error) if isinstance(error, list | tuple) else [error] * len(cols)
         cols = [F.when(enough, c).otherwise(F.lit(e)) for c, e in zip(cols, errors, strict=True)]
     return cols

@@ -32,14 +32,14 @@ def add_logging_handler(logger: logging.Logger, path) -> None:
     logger.addHandler(handler)
 
 
-def log_group(path, descriptors, stride, seconds: float) -> None:
-    """Feature functions of one call; after fusion only the whole call's time is known, which is shared evenly."""
+def log_group(path, descriptors, stride, seconds: list[float]) -> None:
+    """Feature functions of one call with the time that each took by itself."""
     logger = logging.getLogger("tidemark.features")
     add_logging_handler(logger, path)
-    for d in descriptors:
+    for d, took in zip(descriptors, seconds, strict=True):
         window = "manual" if d.window is None else timeargs.label(d.window)
         strides = stride if stride is not None else d.stride
-        logger.info(f"[{d.function.native or d.function.output_names[0]}] on {list(d.series_name)} with window-stride [{window}, {strides}] with output {list(d.function.output_names)} finished in [{seconds / max(len(descriptors), 1)} seconds]!")
+        logger.info(f"[{d.function.native or d.function.output_names[0]}] on {list(d.series_name)} with window-stride [{window}, {strides}] with output {list(d.function.output_names)} finished in [{took} seconds]!")
     delete_logging_handlers(logger)
 
 

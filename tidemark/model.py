@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -105,6 +106,8 @@ class SeriesSet(Mapping):
                 out.append(item)
             elif isinstance(item, pd.Series | pd.DataFrame):
                 frame = item.to_frame() if isinstance(item, pd.Series) else item
+                if not frame.index.is_monotonic_increasing:
+                    warnings.warn(f"the index of {list(frame.columns)} is not monotonic increasing; the order of rows does not count", RuntimeWarning, stacklevel=2)
                 name = frame.index.name or "index"
                 session = spark or SparkSession.active()
                 df = session.createDataFrame(frame.rename_axis(name).reset_index())
