@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import metrics
-from ..model import Series, SeriesSet, index_number, name_of, to_tuple
+from ..model import Series, SeriesSet, index_number, is_time, name_of, to_tuple
 from ..plans import ordering
-from ..runtime import ship_package
+from ..runtime import ship_package, write_once
 from .collection import outer_merge
 
 
@@ -55,7 +55,12 @@ def dataframe_func(func: Callable[[DataFrame], DataFrame]) -> Callable:
 
 
 class SeriesProcessor:
-    """A function applied to each tuple of series names."""
+    """A function applied to each tuple of series names.
+
+    A plain callable gets pandas Series.  The names it gives its outputs decide
+    what is replaced or added; they show when it runs, so it runs at once and
+    its output is written, unless ``output_names`` declares them.
+    """
 
     def __init__(self, function: Callable, series_names, **kwargs):
         names = series_names if isinstance(series_names, list) else [series_names]
@@ -104,40 +109,49 @@ class SeriesProcessor:
         """One call per entity; without entity columns the whole series is one group, so give keys (or chunk) large ones."""
         one = inputs[0]
         ship_package(one.df.sparkSession)
-        outputs = list(self.kwargs.get("output_names", [one.name]))
+        declared = self.kwargs.get("output_names")
         kwargs = {k: v for k, v in self.kwargs.items() if k != "output_names"}
         table = outer_merge(inputs)
         schema = T.StructType([*[table.schema[k] for k in one.keys], table.schema[one.index], T.StructField("__name", T.StringType()), T.StructField("__value", T.DoubleType())])
-        function, index, keys, names = self.function, one.index, list(one.keys), [s.name for s in inputs]
+        function, index, keys, names, step = self.function, one.index, list(one.keys), [s.name for s in inputs], self.name
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(index)
             args = [pdf.set_index(index)[n].dropna() for n in names]
-            made = named_series(function(*args, **kwargs), args, outputs)
+            try:
+                made = named_series(function(*args, **kwargs), args)
+            except Exception as e:
+                raise RuntimeError(f"error while processing function {step}: {e}") from e
+            unknown = {s.name for s in made} - set(declared or [s.name for s in made])
+            if unknown or len({s.name for s in made}) < len(made):
+                raise RuntimeError(f"error while processing function {step}: outputs {sorted(s.name for s in made)} are not distinct or not declared")
             parts = [pd.DataFrame({index: s.index, "__name": s.name, "__value": pd.to_numeric(s.to_numpy()).astype(float)}) for s in made]
-            out = pd.concat(parts)
+            out = pd.concat(parts) if parts else pd.DataFrame(columns=[index, "__name", "__value"])
             for k in keys:
                 out[k] = pdf[k].iloc[0]
             return out[[*keys, index, "__name", "__value"]]
 
         got = table.groupBy(*keys).applyInPandas(run, schema)
+        if declared is None:
+            got = write_once(got, "processed")
+        outputs = declared or [r[0] for r in got.select("__name").distinct().orderBy("__name").collect()]
         return {n: Series(n, got.where(F.col("__name") == n).select(*keys, index, F.col("__value").alias(n)), index, n, one.keys) for n in outputs}
 
 
-def named_series(got, inputs: list[pd.Series], outputs: list[str]) -> list[pd.Series]:
+def named_series(got, inputs: list[pd.Series]) -> list[pd.Series]:
     """The output contract: frame, named series, unnamed series or array of one input, or list of named series."""
     if isinstance(got, pd.DataFrame):
         return [got[c].rename(str(c)) for c in got.columns]
     if isinstance(got, pd.Series):
         if got.name is None and len(inputs) > 1:
             raise TypeError("a series from several inputs needs a name")
-        return [got.rename(got.name if got.name is not None else inputs[0].name)]
+        return [got.rename(str(got.name) if got.name is not None else inputs[0].name)]
     if isinstance(got, np.ndarray):
         if len(inputs) > 1 or len(got) != len(inputs[0]):
             raise TypeError("an array must have the length of the one input")
         return [pd.Series(got, index=inputs[0].index, name=inputs[0].name)]
     if isinstance(got, list) and all(isinstance(s, pd.Series) and s.name is not None for s in got):
-        return got
+        return [s.rename(str(s.name)) for s in got]
     raise TypeError(f"a processor cannot return {type(got).__name__}")
 
 
@@ -163,6 +177,9 @@ class SeriesPipeline:
     def process(self, data, return_df: bool = False, return_all_series: bool = True, drop_keys: Sequence[str] = (), copy: bool = False, logging_file_path: str | None = None, *, index: str | None = None, keys: Sequence[str] = ()):
         """A SeriesSet, or one outer-merged DataFrame; without ``return_all_series`` only what steps have made."""
         now = dict(SeriesSet.of(data, index, keys))
+        for s in now.values():
+            if not is_time(s.kind) and not s.df.isEmpty():
+                raise AssertionError(f"series {s.name} needs a time index")
         made, logs = [], []
         for step in self.steps:
             began = time.perf_counter()
@@ -282,6 +299,12 @@ def difference(s: Series, absolute_value: bool = False) -> Series:
     return _with(s, df, F.abs(d) if absolute_value else d)
 
 
+@on_series
+def shift_rows(s: Series, steps: int = 1, name: str | None = None) -> Series:
+    """The value ``steps`` rows before (after, if negative); null where there is none."""
+    return _with(s, ordering.with_shifted(_numbered(s), "__t", "__v", "__s", steps, s.keys), F.col("__s"), name)
+
+
 @on_series
 def interpolate(s: Series) -> Series:
     """Linear in row order terms of the index; outside of known values null at the start, the last value at the end."""
