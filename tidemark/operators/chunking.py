@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import SeriesSet, is_time
 from ..plans import ordering
-from ..runtime import ship_package, write_once
+from ..runtime import write_once
 from ..timeargs import parse_time
 
 #: A gap is a step of more than so many sample periods.
@@ -56,7 +56,9 @@ def chunk_data(
     half = (_micros(sub_chunk_overlap) or 0) // 2
     parts = []
     for order, s in enumerate(series.values()):
-        rows = ordering.with_previous(s.numbered().withColumn("__raw", F.col("v")), "t", {"__p": "t"}, keys)
+        samples = s.numbered().withColumn("__raw", F.col("v"))
+        slicing = ordering.Slicing.of(samples, "t")
+        rows = ordering.with_previous(samples, "t", {"__p": "t"}, keys, slicing=slicing)
         steps = rows.groupBy(*keys).agg(F.max("t").alias("__last"), F.max(F.col("t") - F.col("__p")).alias("__step"), F.count(F.lit(1)).alias("__all"))
         if keys:
             rows = rows.join(steps, list(keys))
@@ -66,7 +68,7 @@ def chunk_data(
         period = F.lit(1e6 / rates[s.name]) if s.name in rates else F.col("__step").cast("double")
         gap = (F.col("t") - F.col("__p") > GAP_PERIODS * period) & (F.col("t") < F.col("__last"))
         rows = rows.where("__all >= 2").withColumn("__period", period)
-        rows = ordering.with_running_sum(rows, "t", F.coalesce(gap.cast("long"), F.lit(0)), "__run", keys)
+        rows = ordering.with_running_sum(rows, "t", F.coalesce(gap.cast("long"), F.lit(0)), "__run", keys, slicing=slicing)
         meta = rows.groupBy(*keys, "__run").agg(F.min("t").alias("b"), F.max("t").alias("e"), F.count(F.lit(1)).alias("n"), F.first("__period").alias("period"))
         whole_s = F.floor(F.col("n") * F.col("period") / 1e6)
         meta = meta.where("n > 2")
@@ -81,10 +83,7 @@ def chunk_data(
             meta = meta.select(*keys, "__run", lo.alias("b"), hi.alias("e"))
         meta = meta.select(*keys, F.lit(order).alias("order"), F.lit(s.name).alias("series"), "__run", "b", "e")
         parts.append((s, rows, meta))
-    every = parts[0][2]
-    for _, _, m in parts[1:]:
-        every = every.unionByName(m)
-    numbered = write_once(_matched(every, margin, keys), "chunks")
+    numbered = _matched([m for _, _, m in parts], margin, keys)
     out = None
     for s, rows, _ in parts:
         own = numbered.where(F.col("series") == s.name)
@@ -98,30 +97,43 @@ def _micros(x) -> int | None:
     return None if x is None else parse_time(x) if isinstance(x, str | pd.Timedelta) else int(x * 1_000_000)
 
 
-def _matched(meta: DataFrame, margin: int, keys: Sequence[str]) -> DataFrame:
-    """Number chunk ranges: each joins the first range within the margin, in the order of series and time.
+def _matched(tables: list[DataFrame], margin: int, keys: Sequence[str]) -> DataFrame:
+    """Number chunk ranges: each joins the first known range within the margin, in the order of series and time.
 
-    Only chunk ranges are gathered here, one group per key, never samples.
+    ``tables`` has the ranges of one series each.  A series' ranges are joined
+    with those known before by their starts, rounded to the margin, and the
+    neighbours of that; the ones that match none are new.
     """
-    ship_package(meta.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranges: list[tuple[int, int, set]] = []
-        ids = []
-        pdf = pdf.sort_values(["order", "b", "e"], kind="stable")
-        at = 0
-        for name, b, e in zip(pdf["series"], pdf["b"], pdf["e"], strict=True):
-            found = next((i for i, (x, y, _) in enumerate(ranges) if abs(x - b) <= margin and abs(y - e) <= margin), None)
-            if found is None:
-                ranges.append((b, e, {name}))
-                found = len(ranges) - 1
-            elif name in ranges[found][2]:
-                raise ValueError(f"series {name} is twice in one range")
-            else:
-                ranges[found][2].add(name)
-            ids.append(found)
-            at += 1
-        return pdf.assign(chunk_id=ids)
-
-    schema = meta.withColumn("chunk_id", F.lit(0).cast("long")).schema
-    return meta.groupBy(*keys).applyInPandas(run, schema)
+    cell, known, done = max(margin, 1), None, []
+    order = Window.partitionBy(*keys, "series", "__run", "b", "e").orderBy("other")
+    for meta in tables:
+        near = meta.withColumn("__at", F.floor(F.col("b") / cell))
+        if known is None:
+            met = near.withColumn("other", F.lit(None).cast("long"))
+        else:
+            cells = known.select(*keys, F.col("b").alias("x"), F.col("e").alias("y"), F.col("chunk_id").alias("other"), F.explode(F.array(*[F.floor(F.col("b") / cell) + k for k in (-1, 0, 1)])).alias("__at"))
+            pairs = near.join(cells, [*keys, "__at"]).where((F.abs(F.col("x") - F.col("b")) <= margin) & (F.abs(F.col("y") - F.col("e")) <= margin))
+            first = pairs.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*keys, "series", "__run", "b", "e", "other")
+            met = near.join(first, [*keys, "series", "__run", "b", "e"], "left")
+        met = write_once(met.drop("__at"), "chunk-ranges")
+        new = met.where("other is null")
+        # Ranges of one series grow in both ends, so two that are alike lie next to each other.
+        alike = ordering.with_previous(new, "b", {"x": "b", "y": "e"}, keys, tie=["e"]).where((F.col("b") - F.col("x") <= margin) & (F.abs(F.col("e") - F.col("y")) <= margin))
+        twice = met.where("other is not null").groupBy(*keys, "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not alike.isEmpty() or not twice.isEmpty():
+            raise ValueError(f"series {met.first()['series']} is twice in one range")
+        placed = ordering.with_position(new, "b", "chunk_id", keys, tie=["e"])
+        if known is not None:
+            ids = known.groupBy(*keys).agg((F.max("chunk_id") + 1).alias("__from"))
+            placed = (placed.join(ids, list(keys), "left") if keys else placed.crossJoin(ids)).withColumn("chunk_id", F.col("chunk_id") + F.coalesce("__from", F.lit(0))).drop("__from")
+        placed = placed.drop("other")
+        joined = met.where("other is not null").withColumnRenamed("other", "chunk_id")
+        done.append(write_once(placed.unionByName(joined.select(*placed.columns)), "chunk-ids"))
+        fresh = placed.select(*keys, "b", "e", "chunk_id")
+        known = fresh if known is None else known.unionByName(fresh)
+        if len(tables) > 1:
+            known = write_once(known, "chunks-known")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
