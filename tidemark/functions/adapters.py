@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import importlib
 from collections.abc import Callable, Mapping
 
 import numpy as np
@@ -26,46 +27,47 @@ def seglearn_feature_dict_wrapper(features: Mapping[str, Callable]) -> list[Func
     return [seglearn_wrapper(f, n) for n, f in features.items()]
 
 
-def tsfel_feature_dict_wrapper(config: Mapping[str, Mapping], module) -> list[FuncWrapper]:
-    """Functions of a feature configuration; parameters are read as literals."""
+def tsfel_feature_dict_wrapper(config: Mapping[str, Mapping], module=None) -> list[FuncWrapper]:
+    """Functions of a feature configuration; parameters that are texts are read as literals where they name outputs."""
+    module = module or importlib.import_module("tsfel.feature_extraction")
     out = []
     for domain in config.values():
-        for name, spec in domain.items():
+        for spec in domain.values():
             if spec.get("use", "yes") != "yes":
                 continue
-            params = spec.get("parameters") or {}
-            params = ast.literal_eval(params) if isinstance(params, str) else dict(params)
-            n = spec.get("n_features", 1)
-            n = params.get(n, n) if isinstance(n, str) else n
-            n = ast.literal_eval(n) if isinstance(n, str) else n
-            n = len(n) if isinstance(n, list | tuple) else int(n)
-            short = str(spec.get("function", name)).rsplit(".", 1)[-1]
-            out.append(FuncWrapper(getattr(module, short), [short] if n == 1 else [f"{short}_{i}" for i in range(n)], **{k: v for k, v in params.items() if v not in ("", None)}))
+            short, params, n = str(spec["function"]).rsplit(".", 1)[-1], dict(spec.get("parameters") or {}), spec.get("n_features", 1)
+            if isinstance(n, str):
+                value = params[n]
+                value = ast.literal_eval(value) if isinstance(value, str) else value
+                names = [f"{short}_{i + 1}" for i in range(value)] if isinstance(value, int) else [f"{short}_{n}={v}" for v in value]
+            else:
+                names = [f"{short}_{i + 1}" for i in range(n)]
+            out.append(FuncWrapper(getattr(module, short), [short] if len(names) == 1 and not isinstance(n, str) else names, **params))
     return out
 
 
 def tsfresh_combiner_wrapper(func: Callable, param: list[dict]) -> FuncWrapper:
     """A function that yields (name, value) pairs for a list of parameters."""
-    wants_index = getattr(func, "index_type", None) is not None
+    wants_index = hasattr(func, "index_type")
 
     def run(x):
         return [v for _, v in func(x, param)]
 
-    names = [name_of(func) + "_" + "_".join(f"{k}={v}" for k, v in p.items()) for p in param]
-    return FuncWrapper(run, names, input_type=pd.Series if wants_index else np.ndarray)
+    return FuncWrapper(run, [f"{name_of(func)}_{p}" for p in param], input_type=pd.Series if wants_index else np.ndarray)
 
 
-def tsfresh_settings_wrapper(settings: Mapping[str, object], module) -> list[FuncWrapper]:
+def tsfresh_settings_wrapper(settings: Mapping[str, object], module=None) -> list[FuncWrapper]:
     """Simple, parametrised and combining functions of a settings dict."""
+    module = module or importlib.import_module("tsfresh.feature_extraction.feature_calculators")
     out = []
     for name, params in settings.items():
         func = getattr(module, name)
-        if getattr(func, "fctype", "simple") == "combiner":
-            out.append(tsfresh_combiner_wrapper(func, params))
-        elif not params:
+        if params is None:
             out.append(FuncWrapper(func, [name]))
+        elif getattr(func, "fctype", "simple") == "combiner":
+            out.append(tsfresh_combiner_wrapper(func, params))
         else:
-            out += [FuncWrapper(func, [name + "_" + "_".join(f"{k}={v}" for k, v in p.items())], **p) for p in params]
+            out += [FuncWrapper(func, [f"{name}_{p}"], **p) for p in params]
     return out
 
 
