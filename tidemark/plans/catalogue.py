@@ -61,7 +61,7 @@ BASIC_NAMES = {"n": "len", "total": "sum", "average": "mean", "sd": "std"}
 
 def basic(spark, d, window, stride, **kwargs) -> DataFrame:
     fc = FeatureCollection(MultipleFeatureDescriptors(["len", "sum", "mean", "std"], "value", window, stride))
-    out = fc.calculate(events(spark, d), return_df=True, **kwargs)
+    out = fc.calculate(events(spark, d), return_df=True, **{"approve_sparsity": True} | kwargs)
     suffix = next(c for c in out.columns if "__w=" in c).split("__w=")[1]
     return renamed(out, ts="ts", **{k: f"value__{v}__w={suffix}" for k, v in BASIC_NAMES.items()})
 
@@ -389,3 +389,5 @@ def chunk_parallel(spark, d):
     schema = T.StructType([T.StructField("chunk_id", T.LongType()), T.StructField("spread", T.DoubleType())])
     return process_chunks(chunks, lambda pdf: pd.DataFrame({"chunk_id": [pdf.chunk_id.iloc[0]], "spread": [round(float(pdf.value.max() - pdf.value.min()), 6)]}), schema)
 
+
+from . import catalogue_more  # noqa: E402, F401  (registers further queries)
