@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import map_batches, materialize, text_batches, text_of
@@ -206,16 +206,25 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
+    instead_of_ids: Column | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian uint32), sequence_id, offset.
 
+    ``instead_of_ids``, an expression of ``ids`` with a name, takes their place
+    before anything is written or shuffled, for callers that need no more.
+
     Documents of up to ``capacity`` tokens stay whole, longer ones are cut into
     pieces of ``capacity``.  Null text is empty (one end token); a null id stays
     null; repeated rows are packed as often as they come; an empty table gives
     an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialize(tokenised_pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces")
+    cut = tokenised_pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity)
+    carried = "ids"
+    if instead_of_ids is not None:
+        cut = cut.select(*[c for c in cut.columns if c != "ids"], instead_of_ids)
+        carried = cut.columns[-1]
+    pieces = materialize(cut, "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.withColumn("first_rank", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-offsets")
@@ -240,4 +249,4 @@ def pack(
     # The offsets grow with the number of partitions, so they are merged, never broadcast.
     ranked = pieces.join(offsets.select("part", "length", "first_rank").hint("merge"), ["part", "length"])
     placed = ranked.withColumn("slot", slot("length", F.col("first_rank") + F.col("local_rank")))
-    return placed.select("doc_id", "piece", "start", "length", "ids", "slot.sequence_id", "slot.offset")
+    return placed.select("doc_id", "piece", "start", "length", carried, "slot.sequence_id", "slot.offset")

@@ -13,11 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(packing.pack(table(spark, sf_dir, "documents")))
+    return packed(table(spark, sf_dir, "documents"))
 
 
-def packed(pieces_: DataFrame) -> DataFrame:
-    return pieces_.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+def packed(docs: DataFrame) -> DataFrame:
+    """Places of all pieces, with a checksum instead of their ids."""
+    return packing.pack(docs, instead_of_ids=F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
