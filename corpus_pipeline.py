@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, packing, queries, secret_scan, simhash, toxicity
+from tidemark.llm import exact_dedup, queries, secret_scan, simhash, toxicity
 from tidemark.llm.shared import materialize
 
 
@@ -38,7 +38,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences that the documents' pieces take."""
-    return queries.packed(packing.pack(docs))
+    return queries.packed(docs)
 
 
 STAGES = [
