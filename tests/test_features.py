@@ -65,11 +65,32 @@ def test_segments_keep_order(spark):
         run(spark, df, "len", None, segment_start_idxs=[3], segment_end_idxs=[1])
 
 
+def plain_runs(groups):
+    """(start, end, value) of runs of equal values over positions; rows without a value neither start nor end one."""
+    out = []
+    for i, g in enumerate(groups):
+        if g is None:
+            continue
+        if out and out[-1][2] == g:
+            out[-1][1] = i
+        else:
+            out.append([i, i, g])
+    return [tuple(r) for r in out]
+
+
 def test_consecutive_runs(spark):
-    users = ["a"] * 10 + ["b"] * 2 + ["c"] + ["d"] * 2 + [None] * 3 + ["e"] * 12 + ["a"] * 5 + [None] * 2 + ["a"] * 3
-    df = spark.createDataFrame([(i, 1.0, u) for i, u in enumerate(users)], "i long, v double, u string")
-    got = FeatureCollection(FeatureDescriptor("sum", "v")).calculate(df, return_df=True, group_by_consecutive="u", index="i").toPandas().sort_values("__start")
-    assert list(zip(got["__start"], got["__end"], got["u"], strict=True)) == [(0, 9, "a"), (10, 11, "b"), (12, 12, "c"), (13, 14, "d"), (18, 29, "e"), (30, 39, "a")]
+    rng = np.random.default_rng(6)
+    groups = [g for g in rng.choice(["p", "q", "r", ""], 30).tolist() for _ in range(int(rng.integers(1, 6)))]
+    groups = [g or None for g in groups]
+    df = spark.createDataFrame([(i, float(i), g) for i, g in enumerate(groups)], "i long, v double, g string")
+    fc = FeatureCollection([FeatureDescriptor("sum", "v"), FeatureDescriptor(FuncWrapper(lambda x: float(x.max()), "top"), "v")])
+    got = fc.calculate(df, return_df=True, group_by_consecutive="g", index="i", checks=False).toPandas().sort_values("__start")
+    want = plain_runs(groups)
+    assert list(zip(got["__start"], got["__end"], got["g"], strict=True)) == want
+    # A run's features are over all rows up to the next run.
+    ends = [r[0] for r in want[1:]] + [len(groups)]
+    assert got["v__sum__w=manual"].tolist() == [sum(range(r[0], e)) for r, e in zip(want, ends, strict=True)]
+    assert got["v__top__w=manual"].tolist() == [e - 1 for e in ends]
 
 
 def test_nan_policies(spark):
@@ -131,7 +152,7 @@ def test_registry_and_config(tmp_path):
     assert load_config(tmp_path / "fc.bin").get_nb_output_features() == 8
 
 
-@pytest.mark.parametrize(("text", "short"), [("2W 1 day", "15D"), ("2hours", "2h"), ("10min", "10m"), ("30milliseconds", "0.03s"), ("1000microseconds", "0.001s"), ("- 1 hour 30 minutes", "NEG_1h30m"), ("1day 2h", "1D_2h")])
+@pytest.mark.parametrize(("text", "short"), [("3W", "21D"), ("5h", "5h"), ("45min", "45m"), ("60ms", "0.06s"), ("2500us", "0.002s"), ("-90min", "NEG_1h30m"), ("2D 6h", "2D_6h")])
 def test_time_strings(text, short):
     assert timeargs.short(timeargs.parse_time(text)) == short
 
