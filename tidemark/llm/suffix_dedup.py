@@ -5,7 +5,8 @@
    bytes.  A run of windows with one anchor and the bytes they cover is a
    record, so equal windows lie in records of equal anchors, wherever they are.
 3. Records meet by anchor: equal records have one owner, the smallest id; all
-   others' windows are repeats.  What is left to find is windows that an owner
+   others' windows are repeats.  Records meet as short digests; those taken as
+   equal prove it by SHA-256, or the hashes are drawn anew.  What is left to find is windows that an owner
    shares with *another* record of its anchor.  Such a window reaches ``SIDE``
    bytes beyond the anchor on one side at least, so it can only be there if the
    records agree in those bytes (a digest of 16 bits each tells).
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .shared import map_batches, materialize, text_batches, text_of
+from .shared import discard, map_batches, materialize, text_batches, text_of
 from .suffix_sort import same_window, suffix_order, words_of
 
 WIDTH, GRAM = 50, 16
@@ -50,11 +51,19 @@ NOWHERE, ANYWHERE = 0, 1
 STRIP, LOW = 1 << 15, np.uint64(63)
 
 
-def _table() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: The first seed of the hashes; a collision makes the job go on with the next one.
+SEED = 20
+SEEDS = 8
+_tables: dict[int, np.ndarray] = {}
+
+
+def table_of(seed: int) -> np.ndarray:
+    """Random odd numbers for the byte values."""
+    if seed not in _tables:
+        _tables[seed] = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    return _tables[seed]
 
 
-TABLE = _table()
 _powers: list[np.ndarray] = []
 
 
@@ -68,10 +77,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
+def gram_hashes(data: np.ndarray, seed: int = SEED) -> np.ndarray:
     """A mixed hash of the ``GRAM`` bytes from each place on."""
     with np.errstate(over="ignore"):
-        h, size = TABLE[data], 1
+        h, size = table_of(seed)[data], 1
         while size < GRAM:
             left = h[:-size] * (MULTIPLIER + np.uint64(2 * size))
             left += h[size:]
@@ -89,7 +98,7 @@ def sliding_min(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - size)], h[n - size :]) if n > size else h
 
 
-def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, width: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Each window's smallest hash of ``GRAM`` bytes, whose low bits are the place modulo 64, and if it occurs again there.
 
     Strips that fit the processor's cache are hashed one at a time.
@@ -97,7 +106,7 @@ def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) - width + 1
     least, again = np.empty(n, np.uint64), np.zeros(n, bool)
     for at in range(0, n, STRIP):
-        h = gram_hashes(data[at : at + STRIP + width - 1])
+        h = gram_hashes(data[at : at + STRIP + width - 1], seed)
         h &= ~LOW
         h |= np.arange(at, at + len(h), dtype=np.uint64) & LOW
         out = least[at : at + STRIP]
@@ -110,14 +119,15 @@ def anchors(data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 class Records:
     """Records of a block: first and last window, anchor, digest, and the document each is in."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, seed: int = SEED):
         n = len(data)
         self.first = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.digest = np.zeros(0, np.uint64)
         self.left = self.right = np.zeros(0, np.uint16)
         if n < width:
             return
-        least, again = anchors(data, width)
+        least, again = anchors(data, width, seed)
+        table = table_of(seed)
         whole = np.maximum(np.diff(bounds) - width + 1, 0)  # windows of each document
         inside = np.repeat(np.tile([True, False], len(whole)), np.stack([whole, np.diff(bounds) - whole], 1).ravel())[: len(least)]
         new = np.ones(len(least), bool)
@@ -133,7 +143,7 @@ class Records:
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         for at in range(0, n, STRIP):
-            np.multiply(TABLE[data[at : at + STRIP]], up[at : min(at + STRIP, n)], out=sums[at + 1 : at + 1 + STRIP])
+            np.multiply(table[data[at : at + STRIP]], up[at : min(at + STRIP, n)], out=sums[at + 1 : at + 1 + STRIP])
         np.cumsum(sums, out=sums)
 
         def digest(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -190,8 +200,10 @@ def grouped(b: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(b[order[x]]), order[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-#: Bytes of anchors and digests that decide.
+#: Bytes of anchors and digests by which records meet.
 CUT = 6
+#: The block number of a proof that failed.
+FAILED = -1
 
 
 def pack_entries(e: np.ndarray) -> bytes:
@@ -224,8 +236,9 @@ def agreeing(group: np.ndarray, side: np.ndarray, fresh: np.ndarray) -> np.ndarr
 
 
 def meet(blobs: list[bytes]) -> list[bytes]:
-    """For each block's entries of a bucket four rows of bits: is the block the owner; may another record share
-    a window that reaches to the left; to the right; or anywhere, as the anchor occurs twice in one of them."""
+    """For each block's entries of a bucket five rows of bits: is the block the owner; may another record share
+    a window that reaches to the left; to the right; or anywhere, as the anchor occurs twice in one of them;
+    and is the record in another block, too."""
     parts = [unpack_entries(b) for b in blobs]
     e, sizes = np.concatenate(parts), [len(p) for p in parts]
     order = np.argsort(e["record"])
@@ -245,8 +258,9 @@ def meet(blobs: list[bytes]) -> list[bytes]:
     group[rank] = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
     several = (np.bincount(group)[group] > 1)[of]
     group, left, right = group[of][several], s["left"][several], s["right"][several]
-    out = np.zeros((4, len(s)), bool)
+    out = np.zeros((5, len(s)), bool)
     out[0, order] = s["least"] == least
+    out[4, order] = (np.bincount(of) > 1)[of]
     if len(group):
         anywhere = np.bincount(group, left == ANYWHERE)[group] > 0
         out[3, order[several]] = anywhere
@@ -325,13 +339,22 @@ def make_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(rows, run, "block long, ids binary, nulls binary, sizes binary, data binary, n long")
 
 
+def prove(keys: list[bytes], proofs: list[bytes]) -> bool:
+    """Whether all records of one key (record and anchor, cut) have one SHA-256."""
+    k = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 2 * CUT)
+    p = np.frombuffer(b"".join(proofs), np.uint8).reshape(-1, 32)
+    order = np.lexsort(k.T)
+    same = (k[order[1:]] == k[order[:-1]]).all(axis=1)
+    return bool((p[order[1:]][same] == p[order[:-1]][same]).all())
+
+
 class Block:
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, seed: int = SEED):
         self.id, self.ids = row["block"], np.frombuffer(row["ids"], "<i8")
         self.nulls = np.frombuffer(row["nulls"], bool)
         self.raw = zstandard.ZstdDecompressor().decompress(row["data"]) if row["n"] else b""
         self.bounds = np.r_[0, np.cumsum(np.frombuffer(row["sizes"], "<i8"))]
-        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds)
+        self.records = Records(np.frombuffer(self.raw, np.uint8), self.bounds, seed=seed)
         self.entries, self.number = self.records.distinct(self.ids)
 
     def split(self, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -339,15 +362,15 @@ class Block:
         return grouped(bucket_of(self.entries["anchor"], buckets))
 
     def apply(self, replies: list[dict], buckets: int) -> None:
-        """Take the four bits of each entry."""
-        self.bits = np.zeros((4, len(self.entries)), bool)
+        """Take the five bits of each entry."""
+        self.bits = np.zeros((5, len(self.entries)), bool)
         bits = {r["bucket"]: r["bits"] for r in replies}
         for bucket, which in self.split(buckets):
-            self.bits[:, which] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: 4 * len(which)].reshape(4, -1)
+            self.bits[:, which] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8))[: 5 * len(which)].reshape(5, -1)
 
     def asking(self, buckets: int):
         """(bucket, entry numbers) whose bytes go to the bucket's shard; an entry may go to the shards of both sides."""
-        own, left, right, anywhere = self.bits
+        own, left, right, anywhere, _ = self.bits
         which, keys = [], []
         for number, (bit, side) in enumerate(((left, self.entries["left"]), (right, self.entries["right"]), (anywhere, None))):
             which.append(np.nonzero(own & bit)[0])
@@ -357,6 +380,26 @@ class Block:
         for bucket, at in grouped(bucket_of(np.concatenate(keys), buckets)):
             yield bucket, which[at]
 
+    def proving(self, buckets: int):
+        """(bucket, keys, SHA-256) of the entries that other blocks have, too, and of records here that are not what stands for them."""
+        which = np.nonzero(self.bits[4])[0]
+        proofs = [hashlib.sha256(self.bytes_of(e)).digest() for e in which.tolist()]
+        r, width = self.records, WIDTH
+        begin, end = r.first.tolist(), (r.last + width).tolist()
+        odd = []
+        times = np.bincount(self.number, minlength=len(self.entries))
+        for k in np.nonzero(times[self.number] > 1)[0].tolist() if len(self.number) else ():
+            e = int(self.number[k])
+            if self.raw[begin[k] : end[k]] != self.bytes_of(e):
+                odd += [(e, hashlib.sha256(self.raw[begin[k] : end[k]]).digest()), (e, hashlib.sha256(self.bytes_of(e)).digest())]
+        which = np.r_[which, np.array([e for e, _ in odd], np.int64)].astype(np.int64)
+        proofs += [p for _, p in odd]
+        mask = np.uint64((1 << (8 * CUT)) - 1)
+        for bucket, at in grouped(bucket_of(self.entries["record"][which] & mask, buckets)):
+            e = self.entries[which[at]]
+            keys = np.hstack([np.ascontiguousarray(e[name]).view(np.uint8).reshape(-1, 8)[:, :CUT] for name in ("record", "anchor")])
+            yield bucket, keys.tobytes(), b"".join(proofs[k] for k in at.tolist())
+
     def bytes_of(self, entry: int) -> bytes:
         r = self.records.stands[entry]
         return self.raw[self.records.first[r] : self.records.last[r] + WIDTH]
@@ -374,11 +417,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = materialize(make_blocks(docs, id_col, text_col), "blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // (18 * BUCKET_RECORDS)))
+    for seed in range(SEED, SEED + SEEDS):
+        cut = _attempt(blocks, buckets, seed)
+        if cut is not None:
+            return cut
+    raise RuntimeError(f"different records had one digest under {SEEDS} seeds")
+
+
+def _attempt(blocks: DataFrame, buckets: int, seed: int) -> DataFrame | None:
+    """The result with hashes of one seed, None if two different records were taken as equal."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in one_by_one(batch):
-                b = Block(row)
+                b = Block(row, seed)
                 parts = b.split(buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": [k for k, _ in parts], "block": [b.id] * len(parts), "entries": [pack_entries(b.entries[w]) for _, w in parts]}, pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("entries", pa.binary())]))
 
@@ -391,20 +443,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     replies = materialize(replies, "block-replies")
     told = blocks.join(replies, "block", "left")
 
+    asked_schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("owners", pa.binary()), ("data", pa.binary())])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for row in one_by_one(batch):
-                b = Block(row)
+                b = Block(row, seed)
                 b.apply(row["replies"] or [], buckets)
+                for bucket, keys, proofs in b.proving(buckets):
+                    yield pa.RecordBatch.from_pydict({"bucket": [buckets + bucket], "block": [b.id], "sizes": [keys], "owners": [b""], "data": [proofs]}, asked_schema)
                 for bucket, which in b.asking(buckets):
                     sent = [b.bytes_of(e) for e in which.tolist()]
                     yield pa.RecordBatch.from_pydict(
                         {"bucket": [bucket], "block": [b.id], "sizes": [np.array(list(map(len, sent)), "<i8").tobytes()], "owners": [b.entries["least"][which].tobytes()], "data": [squeeze(b"".join(sent))]},
-                        pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("owners", pa.binary()), ("data", pa.binary())]),
+                        asked_schema,
                     )
 
     def sort(group: pa.Table) -> pa.Table:
+        number = group.column("bucket")[0].as_py()
+        if number >= buckets:  # proofs; only a failed one makes a row
+            failed = not prove(group.column("sizes").to_pylist(), group.column("data").to_pylist())
+            return pa.table({"block": pa.array([FAILED] * failed, pa.int64()), "bucket": pa.array([number] * failed, pa.int64()), "bits": pa.array([b""] * failed, pa.binary())})
         records, owners, counts = [], [], []
         for row in group.to_pylist():
             ends = np.cumsum(np.frombuffer(row["sizes"], "<i8")).tolist()
@@ -422,12 +482,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = map_batches(told, ask, "bucket long, block long, sizes binary, owners binary, data binary")
     found = sent.groupBy("bucket").applyInArrow(sort, "block long, bucket long, bits binary")
     found = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
-    settled = replies.join(materialize(found, "block-repeats"), "block", "left")
+    found = materialize(found, "block-repeats")
+    if not found.where(F.col("block") == FAILED).isEmpty():
+        discard(replies, found)
+        return None
+    settled = replies.join(found, "block", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in one_by_one(batch):
-                yield finished(Block(row), row, buckets)
+                yield finished(Block(row, seed), row, buckets)
 
     whole = blocks.join(settled, "block", "left")
     return map_batches(whole, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
