@@ -25,6 +25,8 @@ from .shared import map_batches, text_batches, text_of
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 300_000
+#: Words of more characters are cut first, which scripts without spaces need.
+LONG_WORD = 24
 #: Marks a word that follows a line end directly.
 INNER = "\x02"
 NEVER = np.int64(1) << 40
@@ -73,6 +75,12 @@ class Pieces:
                 hashes[own] = self.hash_rows(chars([self.text[normal[i]] for i in own]))
         order = np.argsort(hashes)
         self.keys, self.key_ids = hashes[order], np.array(normal)[order]
+        #: Characters of the pieces, to confirm what hashes find, and pairs of characters that lie next to each other in a piece.
+        self.codes = np.zeros((n, self.longest), np.uint64)
+        for i in normal:
+            self.codes[i, : len(self.text[i])] = chars([self.text[i]])[0]
+        inside = (self.codes[:, :-1] << np.uint64(32) | self.codes[:, 1:])[self.codes[:, 1:] > 0]
+        self.neighbours = np.unique(inside)
         if (np.diff(self.keys) == 0).any():
             raise ValueError("two pieces have one key")
         pairs = {}
@@ -169,6 +177,14 @@ class Pieces:
             live = live[go]
         return ok
 
+    def apart(self, word: str) -> list[str]:
+        """The word cut where two characters meet that no piece has next to each other: no merge crosses there."""
+        c = chars([word])[0]
+        pairs = c[:-1] << np.uint64(32) | c[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pairs), len(self.neighbours) - 1)
+        cuts = (np.nonzero(self.neighbours[at] != pairs)[0] + 1).tolist() if len(self.neighbours) else list(range(1, len(word)))
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Piece ids (little-endian uint32) of words of equal length; an unknown character is its bytes (or -1 if the model has none)."""
         codes = chars(words)
@@ -184,6 +200,8 @@ class Pieces:
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             found = np.where(self.keys[at] == hashes, self.key_ids[at], -1)
             found[(found >= 0) & ~self.reachable[found]] = -1
+            for k in range(length):
+                found[(found >= 0) & (self.codes[found, k] != codes[:, k : size - length + 1 + k])] = -1
             for start in range(size - length + 1):
                 table[start + length, length] = found[:, start]
         for end in range(1, size + 1):
@@ -241,15 +259,20 @@ class Codec:
         self.cut = re.compile(" *[^ \n]+| +|\n" if self.pieces.newline_splits else " *[^ ]+| +").findall
 
     def learn(self, words: set[str]) -> None:
-        """Remember the ids of new words (a leading space is the word's own)."""
+        """Remember the ids of new words (a leading space is the word's own); long ones are put together from what they can be cut into."""
+        long = {w: self.pieces.apart(w.replace(" ", SPACE)) for w in words if len(w) > LONG_WORD}
+        runs = {w: w.replace(" ", SPACE) for w in words if w not in long}
         by_size: dict[int, list[str]] = {}
-        for word in words:
-            by_size.setdefault(len(word), []).append(word)
+        for run in set(runs.values()).union(*long.values()):
+            by_size.setdefault(len(run), []).append(run)
+        coded: dict[str, bytes] = {}
         for size, some in by_size.items():
             step = max(1, 200_000 // size)
             for at in range(0, len(some), step):
                 part = some[at : at + step]
-                self.known.update(zip(part, self.pieces.viterbi([w.replace(" ", SPACE) for w in part]), strict=True))
+                coded.update(zip(part, self.pieces.viterbi(part), strict=True))
+        self.known.update((w, coded[run]) for w, run in runs.items())
+        self.known.update((w, b"".join(map(coded.__getitem__, parts))) for w, parts in long.items())
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids (little-endian uint32) of each text (strings without null)."""
