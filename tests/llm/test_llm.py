@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import zstandard
 
 import corpus_pipeline
 from tidemark.llm import exact_dedup, graph, licenses, oracles, packing, pieces, quality, queries, secret_scan, simhash, suffix_dedup, suffix_sort, toxicity, vptree
@@ -242,6 +243,33 @@ def test_repeated_passages_with_common_phrases(spark):
     assert have == sorted(suffix_dedup.brute_force([(i, t.encode()) for i, t in rows]))
 
 
+@pytest.mark.parametrize("weak", [True, False])
+def test_repeats_are_proved(spark, monkeypatch, weak):
+    """Digests that collide are found out by SHA-256, and the hashes are drawn anew."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(40))) for i in range(30)]
+    tried = []
+    real = suffix_dedup._attempt
+    monkeypatch.setattr(suffix_dedup, "_attempt", lambda blocks, buckets, seed: tried.append(seed) or (None if weak and len(tried) < 3 else real(blocks, buckets, seed)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    have = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.itertuples())
+    assert have == sorted(suffix_dedup.brute_force([(i, t.encode()) for i, t in rows])) and len(tried) == (3 if weak else 1)
+
+
+def test_proofs_tell_records_apart():
+    key = lambda k: bytes([k] * 12)
+    one, two = hashlib.sha256(b"1").digest(), hashlib.sha256(b"2").digest()
+    assert suffix_dedup.prove([key(1) + key(2), key(1)], [one + two, one])
+    assert not suffix_dedup.prove([key(1) + key(2), key(1)], [one + two, two])
+    raw = np.frombuffer(b"abcdefghij" * 12 + b"klmnopqrst" * 12, np.uint8)
+    row = {"block": 0, "ids": np.array([1, 2]).tobytes(), "nulls": np.array([False, False]).tobytes(), "sizes": np.array([120, 120], "<i8").tobytes(), "data": zstandard.ZstdCompressor().compress(raw.tobytes()), "n": 240}
+    block = suffix_dedup.Block(row)
+    block.bits = np.ones((5, len(block.entries)), bool)
+    assert all(suffix_dedup.prove([k], [p]) for _, k, p in block.proving(3))
+    block.number = np.zeros_like(block.number)  # as if all records had one digest
+    assert not all(suffix_dedup.prove([k], [p]) for _, k, p in block.proving(3))
+
+
 def test_records_do_not_depend_on_strips(monkeypatch):
     data = np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)
     data[500:700], data[900:1100] = 97, data[100:300]
