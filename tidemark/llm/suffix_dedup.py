@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from .shared import discard, map_batches, materialize, text_batches, text_of
-from .suffix_sort import same_window, suffix_order, words_of
+from .suffix_sort import Folder, suffix_order
 
 WIDTH, GRAM = 50, 16
 SIDE = (WIDTH - GRAM) // 2
@@ -269,40 +269,43 @@ def meet(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(out, np.cumsum(sizes)[:-1], axis=1)]
 
 
-def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
-    """For each record whether each of its windows is in a record of a smaller owner, by suffix order."""
-    sizes = np.array([len(r) for r in records])
-    text = np.ones(int(sizes.sum()) + len(records) + 1, np.uint16)
-    text[-1] = 0
+def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH, memory: int | None = None) -> list[np.ndarray]:
+    """For each record whether each of its windows is in a record of a smaller owner, by suffix order.
+
+    The text of the shard and the answers are mapped files, and the sorter's
+    queues go to files beyond ``memory`` bytes.
+    """
+    sizes = np.array([len(r) for r in records], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    flat = np.frombuffer(b"".join(records), np.uint8)
-    of = np.repeat(np.arange(len(records), dtype=np.int32), sizes + 1)
-    place = np.ones(len(text), bool)
-    place[starts + sizes] = place[-1] = False
-    text[place] = flat.astype(np.uint16) + 2
-    # A window starts where its record goes on for ``width`` bytes.
-    short = np.minimum(sizes, width - 1)
-    valid = place
-    valid[:-1] = np.repeat(np.tile([True, False], len(sizes)), np.stack([sizes - short, short + 1], 1).ravel())
-    packed = words_of(text)
-    repeated = np.zeros(len(text), bool)
-    tail = np.zeros(0, np.int64)  # the last group, which may go on in the next block
-
-    def settle(run: np.ndarray, same: np.ndarray) -> np.ndarray:
-        """Mark all groups but the last one, which is returned."""
-        start = np.nonzero(np.r_[True, ~same])[0]
-        mine = owners[of[run]]
-        least = np.repeat(np.minimum.reduceat(mine, start), np.diff(np.r_[start, len(run)]))
-        repeated[run[: start[-1]]] = (least < mine)[: start[-1]]
-        return run[start[-1] :]
-
-    for block in suffix_order(text, width):
-        run = np.r_[tail, block[valid[block]]]
-        if len(run):
-            tail = settle(run, same_window(packed, run[:-1], run[1:], width))
-    if len(tail):
-        repeated[tail] = owners[of[tail]].min() < owners[of[tail]]
-    return [repeated[s : s + n - width + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    folder = Folder()
+    try:
+        text = folder.array(int(sizes.sum()) + len(records) + 1, np.uint16)
+        for r, s, n in zip(records, starts.tolist(), sizes.tolist(), strict=True):
+            text[s : s + n] = np.frombuffer(r, np.uint8)
+            text[s : s + n] += 2
+            text[s + n] = 1
+        repeated = folder.array(len(text), bool)
+        tail = np.zeros(0, np.int64)  # the last group, which may go on in the next block
+        for at, prefix in suffix_order(text, width, memory, folder):
+            of = np.minimum(np.searchsorted(starts, at, "right") - 1, len(records) - 1)
+            # A window starts where its record goes on for ``width`` bytes; what shares as much with such a place is one, too.
+            whole = at + width <= starts[of] + sizes[of]
+            run = np.concatenate([tail, at[whole]])
+            if not len(run):
+                continue
+            same = np.concatenate([np.ones(len(tail), bool), prefix[whole] >= width])
+            start = np.nonzero(np.concatenate([[True], ~same[1:]]))[0]
+            mine = owners[np.searchsorted(starts, run, "right") - 1]
+            least = np.repeat(np.minimum.reduceat(mine, start), np.diff(np.append(start, len(run))))
+            # All groups but the last one are done.
+            repeated[run[: start[-1]]] = (least < mine)[: start[-1]]
+            tail = run[start[-1] :]
+        if len(tail):
+            mine = owners[np.searchsorted(starts, tail, "right") - 1]
+            repeated[tail] = mine.min() < mine
+        return [np.array(repeated[s : s + n - width + 1]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    finally:
+        folder.close()
 
 
 def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
