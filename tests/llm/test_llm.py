@@ -213,13 +213,48 @@ def test_secret_query_counts(spark, docs, tmp_path):
     assert got.base_sha256 == hashlib.sha256(b"assign:0:24").hexdigest()
 
 
-def test_suffix_order():
+@pytest.mark.parametrize("memory", [1 << 30, 600])
+def test_suffix_order(memory):
+    """Order and common prefixes of random, periodic and wide texts, in memory and with nearly all in files."""
     rng = np.random.default_rng(0)
-    for trial in range(20):
-        t = np.r_[rng.integers(2, 3 + rng.integers(1, 4), rng.integers(1, 300)), 0].astype(np.uint16)
-        got = np.concatenate(list(suffix_sort.suffix_order(t, 50, memory=1 << 30 if trial % 2 else 400)))
-        keys = [tuple(t[i : i + 50]) for i in got]
-        assert keys == sorted(keys) and len(got) >= len(t) - 1
+    for trial in range(40):
+        n, k = int(rng.integers(0, 250)), int(rng.integers(1, 6))
+        body = np.tile(rng.integers(2, 5, int(rng.integers(1, 9))), 250)[:n] if trial % 5 == 0 else rng.integers(2, 258 if trial % 7 == 0 else 2 + k, n)
+        t = np.r_[body, 0].astype(np.uint16)
+        got = list(suffix_sort.suffix_order(t, 50, memory))
+        at, prefix = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        keys = [t[i : i + 50].tolist() for i in at]
+        assert sorted(at.tolist()) == list(range(len(t))) and keys == sorted(keys)
+        for k in range(1, len(at)):
+            a, b = keys[k - 1], keys[k]
+            assert prefix[k] == next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_shards_larger_than_memory(monkeypatch):
+    """Queues of a few kilobytes sort a shard of some hundred; what they hold never exceeds the limit."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    records = [" ".join(rng.choice(words) for _ in range(30)).encode() for _ in range(600)]
+    records += [records[k] for k in range(0, 600, 7)] + [b"x" * 50 + records[5] + records[9]]
+    owners = np.arange(len(records))[::-1].copy()
+    stores = []
+
+    class Store(suffix_sort.Store):
+        def put(self, items):
+            stores.append(self)
+            out = super().put(items)
+            assert self.held <= self.memory
+            return out
+
+    monkeypatch.setattr(suffix_sort, "Store", Store)
+    got = suffix_dedup.shared_windows(records, owners, memory=8_000)
+    assert sum(s.spilled for s in set(stores)) > 20 * 8_000 and sum(map(len, records)) > 10 * 8_000
+    least = {}
+    for r, o in zip(records, owners, strict=True):
+        for k in range(len(r) - 49):
+            least[r[k : k + 50]] = min(o, least.get(r[k : k + 50], o))
+    for r, o, marks in zip(records, owners, got, strict=True):
+        assert marks.tolist() == [least[r[k : k + 50]] < o for k in range(len(r) - 49)]
 
 
 def test_repeated_passages(docs):
