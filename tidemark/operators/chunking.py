@@ -59,16 +59,19 @@ def chunk_data(
         samples = s.numbered().withColumn("__raw", F.col("v"))
         slicing = ordering.Slicing.of(samples, "t")
         rows = ordering.with_previous(samples, "t", {"__p": "t"}, keys, slicing=slicing)
-        steps = rows.groupBy(*keys).agg(F.max("t").alias("__last"), F.max(F.col("t") - F.col("__p")).alias("__step"), F.count(F.lit(1)).alias("__all"))
+        # The longest step is asked for only if there is no rate, since it needs the rows in order.
+        known = s.name in rates
+        facts = [F.max("t").alias("__last"), F.count(F.lit(1)).alias("__all"), *([] if known else [F.max(F.col("t") - F.col("__p")).alias("__step")])]
+        steps = (samples if known else rows).groupBy(*keys).agg(*facts)
         if keys:
             rows = rows.join(steps, list(keys))
         else:
-            last, step, n = steps.select("__last", "__step", "__all").first()
-            rows = rows.withColumns({"__last": F.lit(last), "__step": F.lit(step), "__all": F.lit(n)})
-        period = F.lit(1e6 / rates[s.name]) if s.name in rates else F.col("__step").cast("double")
+            rows = rows.withColumns({c: F.lit(x) for c, x in steps.first().asDict().items()})
+        period = F.lit(1e6 / rates[s.name]) if known else F.col("__step").cast("double")
         gap = (F.col("t") - F.col("__p") > GAP_PERIODS * period) & (F.col("t") < F.col("__last"))
         rows = rows.where("__all >= 2").withColumn("__period", period)
         rows = ordering.with_running_sum(rows, "t", F.coalesce(gap.cast("long"), F.lit(0)), "__run", keys, slicing=slicing)
+        rows = write_once(rows.select(*keys, "t", "__raw", "__period", "__run"), "chunk-rows")  # read for ranges and for the result
         meta = rows.groupBy(*keys, "__run").agg(F.min("t").alias("b"), F.max("t").alias("e"), F.count(F.lit(1)).alias("n"), F.first("__period").alias("period"))
         whole_s = F.floor(F.col("n") * F.col("period") / 1e6)
         meta = meta.where("n > 2")
@@ -116,23 +119,26 @@ def _matched(tables: list[DataFrame], margin: int, keys: Sequence[str]) -> DataF
             first = pairs.withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*keys, "series", "__run", "b", "e", "other")
             met = near.join(first, [*keys, "series", "__run", "b", "e"], "left")
         met = write_once(met.drop("__at"), "chunk-ranges")
-        new = met.where("other is null")
+        new = met.where("other is null").drop("other")
         # Ranges of one series grow in both ends, so two that are alike lie next to each other.
-        alike = ordering.with_previous(new, "b", {"x": "b", "y": "e"}, keys, tie=["e"]).where((F.col("b") - F.col("x") <= margin) & (F.abs(F.col("e") - F.col("y")) <= margin))
-        twice = met.where("other is not null").groupBy(*keys, "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if not alike.isEmpty() or not twice.isEmpty():
-            raise ValueError(f"series {met.first()['series']} is twice in one range")
-        placed = ordering.with_position(new, "b", "chunk_id", keys, tie=["e"])
-        if known is not None:
+        slicing = ordering.Slicing.of(new, "b")
+        placed = ordering.with_position(new, "b", "chunk_id", keys, tie=["e"], slicing=slicing)
+        placed = ordering.with_previous(placed, "b", {"x": "b", "y": "e"}, keys, tie=["e"], slicing=slicing)
+        placed = placed.withColumn("alike", F.coalesce((F.col("b") - F.col("x") <= margin) & (F.abs(F.col("e") - F.col("y")) <= margin), F.lit(False))).drop("x", "y")
+        if known is not None and keys:
             ids = known.groupBy(*keys).agg((F.max("chunk_id") + 1).alias("__from"))
-            placed = (placed.join(ids, list(keys), "left") if keys else placed.crossJoin(ids)).withColumn("chunk_id", F.col("chunk_id") + F.coalesce("__from", F.lit(0))).drop("__from")
-        placed = placed.drop("other")
+            placed = placed.join(ids, list(keys), "left").withColumn("chunk_id", F.col("chunk_id") + F.coalesce("__from", F.lit(0))).drop("__from")
+        elif known is not None:
+            placed = placed.withColumn("chunk_id", F.col("chunk_id") + F.lit(known.count()))  # numbers so far have no gaps
+        placed = write_once(placed, "chunk-new")
         joined = met.where("other is not null").withColumnRenamed("other", "chunk_id")
-        done.append(write_once(placed.unionByName(joined.select(*placed.columns)), "chunk-ids"))
+        twice = not placed.where("alike").isEmpty() or known is not None and not joined.groupBy(*keys, "chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+        if twice:
+            raise ValueError(f"series {met.first()['series']} is twice in one range")
+        placed = placed.drop("alike")
+        done.append(placed.unionByName(joined.select(*placed.columns)))
         fresh = placed.select(*keys, "b", "e", "chunk_id")
         known = fresh if known is None else known.unionByName(fresh)
-        if len(tables) > 1:
-            known = write_once(known, "chunks-known")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
