@@ -134,6 +134,7 @@ class FeatureCollection:
         keys: Sequence[str] = (),
         segments: DataFrame | None = None,
         checks: bool = True,
+        ordered: bool = False,
     ):
         """Feature columns by window, segment, group or run.
 
@@ -142,8 +143,8 @@ class FeatureCollection:
         ``segments`` is a table of segments of any size with columns ``start``
         and ``end`` (one of them, if the features have windows) and optionally
         ``segment``, a number that names each.  ``return_df`` gives one wide
-        DataFrame, else one per fused group.  ``show_progress`` and ``n_jobs``
-        are accepted and left to Spark.
+        DataFrame, else one per fused group; ``ordered`` sorts them by their
+        index.  ``show_progress`` and ``n_jobs`` are accepted and left to Spark.
 
         Warnings that need the data (gaps unless ``approve_sparsity``, segments
         out of range, rows without a group) cost a job each; ``checks=False``
@@ -211,7 +212,8 @@ class FeatureCollection:
         else:
             parts = self._strided(required, stride, window_idx, include_final_window, bound_method, checks and not approve_sparsity, keys)
             by = [*keys, first.index]
-        return merge(parts, by) if return_df else parts
+        sort = lambda df: df.orderBy(*quoted(by)) if ordered else df
+        return sort(merge(parts, by)) if return_df else [sort(p) for p in parts]
 
     def _warn_ignored(self, stride, starts, ends, window_idx, final) -> None:
         for name, given in (("stride", stride is not None), ("segment_start_idxs", starts is not None), ("segment_end_idxs", ends is not None), ("window_idx", window_idx != "end"), ("include_final_window", final)):
@@ -658,11 +660,11 @@ def _call(wrapper, inputs: list[list[pd.Series]], names, time_index: bool) -> li
     n_out, kwargs = len(wrapper.output_names), wrapper.kwargs
 
     def arg(s: pd.Series, name: str):
+        a = s.to_numpy().copy()
+        a.flags.writeable = False  # a function may not change what others see
         if wrapper.input_type is pd.Series:
             index = pd.to_datetime(s.index, unit="us") if time_index else s.index
-            return pd.Series(s.to_numpy(), index=index, name=name)
-        a = s.to_numpy()
-        a.flags.writeable = False
+            return pd.Series(a, index=index, name=name, copy=False)
         return (s.index.to_numpy(), a) if wrapper.input_type is tuple else a
 
     if wrapper.vectorized:
@@ -672,6 +674,7 @@ def _call(wrapper, inputs: list[list[pd.Series]], names, time_index: bool) -> li
             if len(sizes) > 1:
                 raise AssertionError("a vectorized function needs windows of equal size")
             stacks.append(np.stack([w[j].to_numpy() for w in inputs]))
+            stacks[-1].flags.writeable = False
         got = wrapper.func(*stacks, **kwargs)
         return list(got) if isinstance(got, tuple | list) else [got]
     rows = []

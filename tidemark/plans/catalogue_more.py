@@ -20,7 +20,7 @@ from ..functions import adapters, spectral
 from ..model import flatten, name_of, to_tuple
 from ..operators import processing as P
 from ..sources import readers
-from .catalogue import BASIC, BASIC_NAMES, CHUNK_FS, QUERIES, RUNS_SQL, H, events, grid_sql, hop_sql, kinds, query, renamed, table
+from .catalogue import BASIC, BASIC_NAMES, CHUNK_FS, RUNS_SQL, H, events, grid_sql, hop_sql, kinds, query, renamed, table
 
 
 def one(func, series, window, stride=None) -> FeatureCollection:
@@ -33,7 +33,7 @@ def facts(spark: SparkSession, rows: list[tuple[str, object]]) -> DataFrame:
 
 
 def facts_sql(rows: list[tuple[str, object]]) -> str:
-    quoted = ["('{}', '{}')".format(a, str(b).replace("'", "''")) for a, b in rows]
+    quoted = ["('{}', '{}')".format(*(str(x).replace("'", "''") for x in row)) for row in rows]
     return f"SELECT fact, outcome FROM (VALUES {', '.join(quoted)}) v(fact, outcome)"
 
 
@@ -288,13 +288,14 @@ def zero_windows(spark, d):
     return spark.createDataFrame([(out.count(), ",".join(out.columns))], "n_rows int, columns string")
 
 
-@query("SELECT 'ts,value__max__w=1D,value__max__w=6h,value__min__w=1D,value__min__w=6h,value|user__sum_2__w=6h' AS columns, TRUE AS sorted_parts")
+@query("SELECT 'ts,value__max__w=1D,value__max__w=6h,value__min__w=1D,value__min__w=6h,value|user__sum_2__w=6h' AS columns, TRUE AS sorted_parts, TRUE AS ordered")
 def sorted_columns(spark, d):
     df = table(spark, d, "events").select("ts", "value", F.col("user_id").cast("double").alias("user"))
     fc = FeatureCollection([FeatureDescriptor("sum_2", ("value", "user"), "6h", "6h"), *MultipleFeatureDescriptors(["min", "max"], "value", ["6h", "1D"], "6h").feature_descriptions])
     out = fc.calculate(df, return_df=True, index="ts", checks=False)
     parts = fc.calculate(df, index="ts", checks=False)
-    return spark.createDataFrame([(",".join(out.columns), len(parts) == 3)], "columns string, sorted_parts boolean")
+    rows = [r.ts for r in fc.calculate(df, return_df=True, index="ts", checks=False, ordered=True).collect()]
+    return spark.createDataFrame([(",".join(out.columns), len(parts) == 3, rows == sorted(rows))], "columns string, sorted_parts boolean, ordered boolean")
 
 
 @query(hop_sql("CASE WHEN count(*) FILTER (event_type != 'error') >= 10 THEN round(max(e.value) FILTER (event_type != 'error'), 6) ELSE -1 END AS most, CASE WHEN count(*) FILTER (event_type != 'error') >= 10 THEN round(median(e.value) FILTER (event_type != 'error'), 6) ELSE -1 END AS middle", H, [H]))
@@ -347,7 +348,7 @@ def group_by_of_two_tables(spark, d):
     return renamed(out, kind="kind", n="click__len__w=manual", total="click__sum__w=manual")
 
 
-RUNS_OF_KIND = QUERIES and (
+RUNS_OF_KIND = (
     "WITH e AS (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS kind FROM events), a AS (SELECT *, lag(kind) OVER (ORDER BY ts) IS DISTINCT FROM kind AS fresh FROM e WHERE kind IS NOT NULL), "
     "m AS (SELECT e.ts, e.value, e.kind, sum(coalesce(a.fresh, FALSE)::INT) OVER (ORDER BY e.ts) AS run FROM e LEFT JOIN a ON e.ts = a.ts) "
 )
@@ -781,6 +782,8 @@ ERRORS = [
     ("chunks by number", "NotImplementedError"),
     ("chunks of equal names", "AssertionError"),
     ("writing to a window", "PythonException"),
+    ("writing to a window's series", "PythonException"),
+    ("writing to a stack of windows", "PythonException"),
     ("wrong number of outputs", "PythonException"),
 ]
 
@@ -791,7 +794,6 @@ def error_contract(spark, d):
     at = seconds(spark, 30)
     run = lambda f, data=df, **k: lambda: f.calculate(data, return_df=True, checks=False, **({"index": "id"} if data is df else {}) | k)
     total, bare = one("sum", "v", 4, 2), one("sum", "v", None)
-    gaps = df.where("id <> 7").select("id", "v")
     stacked = one(FuncWrapper(np.mean, "m", vectorized=True, axis=1), "v", 4, [2, 3])
     pipe = lambda f, names="v", **k: lambda: SeriesPipeline([SeriesProcessor(f, names, **k)]).process(at)
     cuts = spark.createDataFrame([(3, 1)], "start long, end long")
@@ -800,6 +802,14 @@ def error_contract(spark, d):
         x[0] = 1
         return 0.0
 
+    def writes_series(x):
+        x.iloc[0] = 1
+        return 0.0
+
+    def writes_stack(x):
+        x[0, 0] = 1
+        return x.sum(axis=1)
+
     calls = {
         "data of no kind": lambda: total.calculate("x"),
         "no window": run(bare),
@@ -839,9 +849,10 @@ def error_contract(spark, d):
         "chunks by number": lambda: chunk_data(df.select("id", "v"), {"v": 1}, index="id"),
         "chunks of equal names": lambda: chunk_data({"a": at, "b": at}, {"a": 1, "b": 1}),
         "writing to a window": lambda: one(FuncWrapper(writes, "w"), "v", 4, 4).calculate(df, return_df=True, index="id", checks=False).count(),
+        "writing to a window's series": lambda: one(FuncWrapper(writes_series, "w", input_type=pd.Series), "v", 4, 4).calculate(df, return_df=True, index="id", checks=False).count(),
+        "writing to a stack of windows": lambda: one(FuncWrapper(writes_stack, "w", vectorized=True), "v", 4, 4).calculate(df, return_df=True, index="id", checks=False).count(),
         "wrong number of outputs": lambda: one(FuncWrapper(lambda x: (1.0, 2.0), "w"), "v", 4, 4).calculate(df, return_df=True, index="id", checks=False).count(),
     }
-    assert not gaps.isEmpty()
     return facts(spark, [(name, raised(calls[name])) for name, _ in ERRORS])
 
 
