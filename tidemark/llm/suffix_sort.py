@@ -10,8 +10,8 @@ character.  What was taken is written in order.
 
 Suffixes of type S that follow one of type L are sorted by a first induction of
 the substrings between them.  If substrings repeat, their numbers are a reduced
-text, which is sorted by the same method; a second induction gives the order of
-all suffixes.  Orders and common prefixes go as deep as asked for.
+text, which is sorted by the same method, until one fits in memory; a second
+induction gives the order of all suffixes.  Orders and common prefixes go as deep as asked for.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ CODES = 258  # 0 ends the shard, 1 parts records, bytes are raised by 2
 #: Tuples are two rows of numbers: the code, and the place with the common prefix in its low byte.
 NONE = np.zeros((2, 0), np.int64)
 FAR = 255
+#: Bytes that a number of a reduced text takes where it is sorted in memory.
+IN_MEMORY = 32
 #: Tuples that wait unsorted, and sorted runs that are kept apart, at most.
 PENDING, RUNS = 1 << 13, 64
 
@@ -485,7 +487,8 @@ class Level:
         if count == len(stars) or self.depth < 2:
             order = ((b[1] >> 8, b[1] & 255) for b in ranked.read())
         else:
-            order = Level(names, count, min(self.depth // 2 + 2, FAR - 1), self.folder, self.memory).star_order(stars)
+            below = Level(names, count, min(self.depth // 2 + 2, FAR - 1), self.folder, self.memory)
+            order = below.star_order(stars)
         last = -1
         for at, known in order:
             ends = np.concatenate([[last], at[:-1]])
@@ -502,9 +505,25 @@ class Level:
         """All suffixes in order, sorted by ``depth`` characters at least."""
         return self.all_but_last(self.induced(full(self.seeds(self.stars())), True) if self.n > 1 else iter(()))
 
+    def in_memory(self) -> Iterator[np.ndarray]:
+        """The same order for a reduced text that fits in memory, where the recursion ends: ranks of twice the length each round."""
+        rank = np.array(self.text)
+        covered, n = 1, self.n
+        while covered < self.depth and int(rank.max()) + 1 < n:
+            pair = rank * (n + 2)
+            pair[:-covered] += rank[covered:] + 1
+            order = np.argsort(pair)
+            pair = pair[order]
+            rank[order] = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
+            covered *= 2
+        order = np.argsort(rank, kind="stable")
+        lcp = np.zeros(n, np.int64)
+        lcp[1:] = self.extend(order[:-1], order[1:], np.zeros(n - 1, np.int64))
+        yield tuples(np.asarray(self.text)[order], order, lcp)
+
     def star_order(self, stars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in the text above in the order of this reduced one, and the characters that equal numbers in front of them cover."""
-        for items in self.order():
+        for items in self.order() if self.n * IN_MEMORY > self.memory else self.in_memory():
             i = items[1] >> 8
             yield stars[i], stars[np.minimum(i + (items[1] & 255), len(stars) - 1)] - stars[i]
 
