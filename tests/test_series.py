@@ -100,6 +100,28 @@ def test_streaming_windows(spark, tmp_path):
     assert spark.sql("select s from hops where start = timestamp'2024-01-01 00:10:00'").first()[0] == sum(range(10, 20))
 
 
+def test_streaming_sessions_and_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = pd.date_range("2024-01-01", periods=30, freq="min")
+    kinds = ["x"] * 10 + ["y"] * 5 + ["x"] * 15
+    rows = pd.DataFrame({"ts": t, "k": ["a"] * 30, "v": kinds}).drop(index=[20, 21, 22, 23])
+    df = spark.createDataFrame(rows).selectExpr("cast(ts as timestamp) ts", "k", "v")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    def collected(out, name, mode):
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).toPandas()
+
+    sessions = collected(windows.gap_sessions(stream, "ts", "2 minutes", ["k"], [F.count(F.lit(1)).alias("n")], late="0 seconds"), "sessions", "append")
+    assert sessions.n.tolist() == [20]  # the last session is still open
+    runs = collected(windows.consecutive_runs(stream, "ts", "v", ["k"]), "runs", "append").sort_values("start")
+    assert list(zip(runs.v, runs.n, strict=True)) == [("x", 10), ("y", 5)] and (runs.end - runs.start).tolist() == [pd.Timedelta("9min"), pd.Timedelta("4min")]
+
+
 def test_neighbourhoods_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(P, "SLICE", 4)
     df = seconds(spark, 60)
