@@ -280,28 +280,32 @@ def shared_windows(records: list[bytes], owners: np.ndarray, width: int = WIDTH,
     folder = Folder()
     try:
         text = folder.array(int(sizes.sum()) + len(records) + 1, np.uint16)
-        for r, s, n in zip(records, starts.tolist(), sizes.tolist(), strict=True):
-            text[s : s + n] = np.frombuffer(r, np.uint8)
-            text[s : s + n] += 2
-            text[s + n] = 1
+        for k in range(0, len(records), STRIP):  # each record and a 1 behind it
+            flat = np.frombuffer(b"\xff".join([*records[k : k + STRIP], b""]), np.uint8)
+            part = text[starts[k] : starts[k] + len(flat)]
+            part[:] = flat
+            part += 2
+            part[starts[k : k + STRIP] + sizes[k : k + STRIP] - starts[k]] = 1
         repeated = folder.array(len(text), bool)
-        tail = np.zeros(0, np.int64)  # the last group, which may go on in the next block
+        tail, tail_of = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last group, which may go on in the next block
+        ends = starts + sizes - width
         for at, prefix in suffix_order(text, width, memory, folder):
-            of = np.minimum(np.searchsorted(starts, at, "right") - 1, len(records) - 1)
+            of = np.searchsorted(starts, at, "right") - 1
             # A window starts where its record goes on for ``width`` bytes; what shares as much with such a place is one, too.
-            whole = at + width <= starts[of] + sizes[of]
-            run = np.concatenate([tail, at[whole]])
+            whole = at <= ends[of]
+            run, of = np.concatenate([tail, at[whole]]), np.concatenate([tail_of, of[whole]])
             if not len(run):
                 continue
             same = np.concatenate([np.ones(len(tail), bool), prefix[whole] >= width])
-            start = np.nonzero(np.concatenate([[True], ~same[1:]]))[0]
-            mine = owners[np.searchsorted(starts, run, "right") - 1]
+            same[0] = False
+            start = np.nonzero(~same)[0]
+            mine = owners[of]
             least = np.repeat(np.minimum.reduceat(mine, start), np.diff(np.append(start, len(run))))
             # All groups but the last one are done.
             repeated[run[: start[-1]]] = (least < mine)[: start[-1]]
-            tail = run[start[-1] :]
+            tail, tail_of = run[start[-1] :], of[start[-1] :]
         if len(tail):
-            mine = owners[np.searchsorted(starts, tail, "right") - 1]
+            mine = owners[tail_of]
             repeated[tail] = mine.min() < mine
         return [np.array(repeated[s : s + n - width + 1]) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     finally:

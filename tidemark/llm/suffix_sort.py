@@ -65,7 +65,7 @@ class Folder:
 
     def array(self, size: int, kind) -> np.ndarray:
         """A mapped array of zeros."""
-        return np.memmap(self.path(), dtype=kind, mode="w+", shape=(max(size, 1),))[:size]
+        return np.memmap(self.path(), dtype=kind, mode="w+", shape=(max(size, 1),)).view(np.ndarray)[:size]
 
     def close(self) -> None:
         self.place.cleanup()
@@ -79,7 +79,7 @@ class Spilled:
         np.ascontiguousarray(items).tofile(path)
 
     def mapped(self) -> np.ndarray:
-        return np.memmap(self.path, dtype=np.int64, mode="r", shape=self.shape)
+        return np.memmap(self.path, dtype=np.int64, mode="r", shape=self.shape).view(np.ndarray)
 
 
 class Store:
