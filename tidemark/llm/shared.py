@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import discard, fresh_name, ship_package
 from ..runtime import write_once as materialize
 
-__all__ = ["discard", "fresh_name", "map_batches", "materialize", "numbered", "text_batches", "text_of"]
+__all__ = ["discard", "fresh_name", "join_counted", "map_batches", "materialize", "numbered", "text_batches", "text_of"]
 
 
 def numbered(df: DataFrame, scratch: str) -> tuple[DataFrame, str]:
@@ -21,6 +21,22 @@ def numbered(df: DataFrame, scratch: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id()), scratch), row
 
 
+#: A key with more than one in so many rows is joined by broadcast; there are fewer such keys than this.
+SHARE = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key and in ``count`` how often ``rows`` has it.
+
+    The few keys that many rows share would bring those to one task, so their
+    rows of ``table`` go to all tasks instead; all others are shuffled.
+    """
+    limit = rows.count() // SHARE
+    frequent = F.broadcast(table.where(F.col(count) > limit).drop(count))  # fewer than SHARE rows, as counts add up to all rows
+    usual = rows.join(frequent.select(key), key, "left_anti").join(table.where(F.col(count) <= limit).drop(count), key)
+    return rows.join(frequent, key).unionByName(usual)
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship_package(df.sparkSession)

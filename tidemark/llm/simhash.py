@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import fresh_name, map_batches, materialize, numbered, text_batches, text_of
+from .shared import fresh_name, join_counted, map_batches, materialize, numbered, text_batches, text_of
 
 SEED = 42
 SEGMENTS, WIDTH = 16, 4
@@ -88,14 +88,14 @@ def decide(docs: DataFrame, id_col: str, text_col: str, words: int, max_distance
     """row_no, doc_id, fp and least (its component's smallest id, with the row that has it) of every row."""
     prints = materialize(fingerprints(docs, id_col, text_col, words, row), "simhash-prints")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id").alias("id"), F.col("row_no").alias("row_no"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("least")), "simhash-nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     # Only prints that link to another one have a root; all others are components by themselves.
-    linked = nodes.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("first"))
-    moved = linked.join(least, "root").select("fp", "first")
-    placed = nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("least"))
-    return prints.join(placed, "fp").select("row_no", "doc_id", "fp", "least")
+    linked = materialize(nodes.select("fp", "least").join(roots, "fp"), "simhash-linked")
+    first = materialize(linked.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-first")
+    moved = join_counted(linked.select("fp", "root"), first, "root", "n").select("fp", "first")
+    placed = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("least"), "n"), "simhash-placed")
+    return join_counted(prints, placed, "fp", "n").select("row_no", "doc_id", "fp", "least")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_distance: int = MAX_DISTANCE) -> DataFrame:
