@@ -369,7 +369,9 @@ class Level:
                 final = np.append(heads[1:], len(c)) - 1
                 tail[c[final]] = tails[f[final] + 1]
                 pushed[c[final]] = rounds
-            np.minimum(least[: rounds + 1], prefix.min(), out=least[: rounds + 1])
+            # Least values from each round on never fall, so only the last ones change.
+            low = prefix.min()
+            least[int(np.searchsorted(least[:rounds], low, "right")) : rounds + 1] = low
             rounds += 1
             return made
 
