@@ -70,7 +70,12 @@ def cell_of(fp: Column) -> Column:
 
 
 def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """All pairs a < b of the distinct values of ``fp`` that differ in 1 to ``max_distance`` (2 at most) bits."""
+    """All pairs a < b of the distinct values of ``fp`` that differ in 1 to ``max_distance`` (2 at most) bits.
+
+    The join is always shuffled: Spark estimates the visits, 33 for each value,
+    at a fraction of the size of the file that holds the values, and would bring
+    them to the driver for a broadcast.
+    """
     if not 0 <= max_distance <= 2:
         raise ValueError("the grid of neighbouring cells covers distances up to 2")
     steps = [0, *(s << (4 * i) for i in range(SEGMENTS) for s in (1, -1))]
@@ -81,7 +86,7 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
     # One meeting cell counts: a's own one if the cells are equal or next to each other, else one between them.
     meet = (F.col("cell") == F.col("own_a")) | ((F.col("cell") != F.col("own_b")) & (F.col("own_a") != F.col("own_b")))
-    return a.join(b, "cell").where((F.col("a") < F.col("b")) & near & meet).select("a", "b").distinct()
+    return a.hint("merge").join(b.hint("merge"), "cell").where((F.col("a") < F.col("b")) & near & meet).select("a", "b").distinct()
 
 
 def decide(docs: DataFrame, id_col: str, text_col: str, words: int, max_distance: int, row: str | None = None) -> DataFrame:
