@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import exact_dedup, graph, labels, licenses, oracles, packing, quality, queries, secret_scan, simhash, toxicity, vptree
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import join_counted, materialize
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, row_no long, stays int, digest string, sample_id long"
 LONG = "very long texts have many words " * 8000
@@ -137,6 +137,27 @@ def test_drop_near_copies_keeps_one_of_each(spark, odd):
     assert sorted((r.doc_id or "", r.text) for r in simhash.drop_near_copies(text_ids).collect()) == [("", "y"), ("a", "X")]
 
 
+def test_large_tables_are_joined_without_the_driver(spark, monkeypatch):
+    n, plans = 20_500, []
+
+    def recorded(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, *rest)
+
+    monkeypatch.setattr(graph, "materialize", recorded)
+    roots = graph.connected_components(spark.range(n).selectExpr("id * 3 as a", "id * 3 + 1 as b").union(spark.createDataFrame([(1, 2), (4, 2)], "a long, b long")))
+    assert sum("Join" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans[:5])
+    got = {r.node: r.root for r in roots.collect()}
+    assert len(got) == 2 * n + 1 and len(set(got.values())) == n - 1
+    assert len({got[k] for k in range(5)}) == 1 and all(got[3 * k] == got[3 * k + 1] for k in range(n))
+
+    rows = materialize(spark.range(3 * n).selectExpr(f"if(id < 1000, 0, id % {n}) as k", "id"), "test-rows")
+    table = materialize(rows.groupBy("k").agg(F.count("id").alias("n"), F.lit("same").alias("v")), "test-table")
+    joined = join_counted(rows, table, "k", "n")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 2  # of the frequent key
+    assert joined.where("v = 'same'").select("id").distinct().count() == joined.count() == 3 * n
+
+
 def test_components_leave_out_loops_and_nulls(spark):
     edges = spark.createDataFrame([(1, 1), (None, 2), (3, None), (4, 5), (5, 4), (4, 5)], "a long, b long")
     assert sorted((r.node, r.root) for r in graph.connected_components(edges).collect()) in ([(4, 4), (5, 4)], [(4, 5), (5, 5)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, sized
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = materialize(edges.where("a <> b").select(*pair).distinct(), "cc-edges")
     roots = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "cc-roots")
-    while left.limit(1).count():
+    while most := left.count():  # a round moves no more roots than there are edges
         up = left.groupBy(F.col("b").alias("child")).agg(F.min("a").alias("parent"))
         above = up.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        moves = materialize(up.join(above, "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent")), "cc-moves")
-        to = lambda c: moves.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_to"))  # noqa: E731, B023
+        moves = materialize(up.join(sized(above, most), "parent", "left").select("child", F.coalesce("grand", "parent").alias("parent")), "cc-moves")
+        to = lambda c: sized(moves.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_to")), most)  # noqa: E731, B023
         moved = left.join(to("a"), "a", "left").join(to("b"), "b", "left")
         moved = moved.select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")).where("a <> b")
         before = left, roots

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import discard, fresh_name, ship_package
 from ..runtime import write_once as materialize
 
-__all__ = ["discard", "fresh_name", "join_counted", "map_batches", "materialize", "numbered", "text_batches", "text_of"]
+__all__ = ["discard", "fresh_name", "join_counted", "map_batches", "materialize", "numbered", "sized", "text_batches", "text_of"]
 
 
 def numbered(df: DataFrame, scratch: str) -> tuple[DataFrame, str]:
@@ -21,6 +21,19 @@ def numbered(df: DataFrame, scratch: str) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(row, F.monotonically_increasing_id()), scratch), row
 
 
+#: Tables of more rows are not joined by broadcast.
+BROADCAST_ROWS = 20_000
+
+
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, of at most ``rows`` rows, marked for a broadcast if these are few, else for a shuffled join.
+
+    Unmarked, Spark takes the size of compressed files for the memory that a
+    broadcast needs on the driver, which can be a small part of it.
+    """
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 #: A key with more than one in so many rows is joined by broadcast; there are fewer such keys than this.
 SHARE = 1000
 
@@ -33,7 +46,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> Dat
     """
     limit = rows.count() // SHARE
     frequent = F.broadcast(table.where(F.col(count) > limit).drop(count))  # fewer than SHARE rows, as counts add up to all rows
-    usual = rows.join(frequent.select(key), key, "left_anti").join(table.where(F.col(count) <= limit).drop(count), key)
+    usual = rows.join(frequent.select(key), key, "left_anti").join(sized(table.where(F.col(count) <= limit).drop(count), table.count()), key)
     return rows.join(frequent, key).unionByName(usual)
 
 

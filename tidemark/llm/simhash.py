@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .shared import fresh_name, join_counted, map_batches, materialize, numbered, text_batches, text_of
+from .shared import fresh_name, join_counted, map_batches, materialize, numbered, sized, text_batches, text_of
 
 SEED = 42
 SEGMENTS, WIDTH = 16, 4
@@ -96,10 +96,11 @@ def decide(docs: DataFrame, id_col: str, text_col: str, words: int, max_distance
     nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), max_distance)).withColumnRenamed("node", "fp")
     # Only prints that link to another one have a root; all others are components by themselves.
-    linked = materialize(nodes.select("fp", "least").join(roots, "fp"), "simhash-linked")
+    many = roots.count()
+    linked = materialize(nodes.select("fp", "least").join(sized(roots, many), "fp"), "simhash-linked")
     first = materialize(linked.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-first")
     moved = join_counted(linked.select("fp", "root"), first, "root", "n").select("fp", "first")
-    placed = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("least"), "n"), "simhash-placed")
+    placed = materialize(nodes.join(sized(moved, many), "fp", "left").select("fp", F.coalesce("first", "least").alias("least"), "n"), "simhash-placed")
     return join_counted(prints, placed, "fp", "n").select("row_no", "doc_id", "fp", "least")
 
 
