@@ -48,6 +48,15 @@ def guarded(v: Column, policy: str, out: Column) -> Column:
     return out if policy == SKIP else F.when(F.bool_or(F.isnan(number(v))), F.lit(NAN)).otherwise(out)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    A lambda works out all that it refers to for each element, so what holds
+    for the whole array is named by this before.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ordered(t: Column, v: Column) -> Column:
     """Values by index."""
     pairs = F.array_sort(F.collect_list(F.struct(t.alias("t"), number(v).alias("v"))))
@@ -126,20 +135,24 @@ def _peaks(t, v, p, time, n=1, **_):
 
 def _value_entropy(t, v, p, time, **_):
     """Shannon entropy (bits) of the distinct values' shares, by the number of distinct values' bits; 0 for one value."""
-    a = F.array_sort(F.collect_list(kept(v, p)))
-    n = F.size(a)
-    distinct = F.array_distinct(a)
-    shares = F.transform(distinct, lambda x: F.size(F.filter(a, lambda y: y == x)) / n)
-    bits = -total(F.transform(shares, lambda x: x * F.log2(x)))
-    return [F.when(F.size(distinct) > 1, bits / F.log2(F.size(distinct))).when(n > 0, F.lit(0.0))]
+    n = F.count(kept(v, p))
+    part = lambda k: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(F.lit(0.0))
+
+    def add(s, x):
+        # Equal values lie together; a run's part is added when the next one begins.
+        same = s["x"] == x
+        return F.struct(x.alias("x"), F.when(same, s["k"] + 1).otherwise(F.lit(1)).alias("k"), (s["d"] + F.when(same, 0).otherwise(1)).alias("d"), (s["bits"] + F.when(same, F.lit(0.0)).otherwise(part(s["k"]))).alias("bits"))
+
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).alias("k"), F.lit(0).alias("d"), F.lit(0.0).alias("bits"))
+    whole = F.aggregate(F.sort_array(F.collect_list(kept(v, p))), start, add, lambda s: F.struct(s["d"].alias("d"), (s["bits"] + part(s["k"])).alias("bits")))
+    return [once(whole, lambda w: F.when(w["d"] > 1, w["bits"] / F.log2(w["d"])).when(w["d"] > 0, F.lit(0.0)))]
 
 
 def _binned_entropy(t, v, p, time, bins=10, **_):
     """Shannon entropy (nats) of the shares of equal bins from the smallest to the largest value."""
-    a = F.array_sort(F.collect_list(kept(v, p)))
-    low, high, n = F.element_at(a, 1), F.element_at(a, -1), F.size(a)
-    place = lambda x: F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1).cast("long"))
-    shares = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(a, lambda x: place(x) == k)) / n), lambda x: x > 0)
+    low, high, n = F.min(kept(v, p)), F.max(kept(v, p)), F.count(kept(v, p))
+    places = F.transform(F.collect_list(kept(v, p)), lambda x: F.least(F.floor(F.try_divide(x - low, high - low) * bins), F.lit(bins - 1).cast("long")))
+    shares = once(places, lambda a: F.filter(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(a, lambda x: x == k)) / n), lambda x: x > 0))
     return [F.when(n == 0, F.lit(None).cast("double")).when(low == high, F.lit(0.0)).otherwise(-total(F.transform(shares, lambda x: x * F.log(x))))]
 
 
