@@ -36,3 +36,9 @@ def test_entropy_of_a_large_window(spark):
     assert got["value_entropy"] == pytest.approx(1.0)  # all values are distinct
     assert in_one_window(spark, [1.0, 1.0, 2.0, 2.0, 2.0, 2.0], "value_entropy")["value_entropy"] == pytest.approx(-(np.log2(1 / 3) / 3 + 2 * np.log2(2 / 3) / 3))
     assert in_one_window(spark, [4.0, 4.0], "value_entropy")["value_entropy"] == 0
+
+
+def test_changes_in_a_large_window(spark):
+    got = in_one_window(spark, VALUES, "std_diff", "distance", "std_time_diff")
+    steps = np.diff(VALUES)
+    assert got == pytest.approx({"std_diff": steps.std(), "distance": np.sqrt(1 + steps**2).sum(), "std_time_diff": 0.0})

@@ -57,19 +57,28 @@ def once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def ordered_pairs(t: Column, v: Column) -> Column:
+    return F.sort_array(F.collect_list(F.struct(t.alias("t"), number(v).alias("v"))))
+
+
 def ordered(t: Column, v: Column) -> Column:
     """Values by index."""
-    pairs = F.array_sort(F.collect_list(F.struct(t.alias("t"), number(v).alias("v"))))
-    return F.transform(pairs, lambda p: p["v"])
+    return F.transform(ordered_pairs(t, v), lambda p: p["v"])
 
 
 def ordered_times(t: Column) -> Column:
-    return F.array_sort(F.collect_list(t))
+    return F.sort_array(F.collect_list(t))
+
+
+def neighbours(a: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of`` each element but the last and the one after it, in an array of two or more, else an empty array."""
+    n = lambda a: F.greatest(F.size(a) - 1, F.lit(0))
+    return once(a, lambda a: F.zip_with(F.slice(a, 1, n(a)), F.slice(a, 2, n(a)), of))
 
 
 def diffs(a: Column) -> Column:
     """Differences of neighbours in an array of two or more, else an empty array."""
-    return F.zip_with(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x - y)
+    return neighbours(a, lambda x, y: y - x)
 
 
 def total(a: Column) -> Column:
@@ -77,12 +86,17 @@ def total(a: Column) -> Column:
 
 
 def mean_of(a: Column) -> Column:
-    return total(a) / F.nullif(F.size(a), F.lit(0))
+    return once(a, lambda a: total(a) / F.nullif(F.size(a), F.lit(0)))
+
+
+def variance_of(a: Column) -> Column:
+    """Population variance of an array."""
+    return once(a, lambda a: once(mean_of(a), lambda m: mean_of(F.transform(a, lambda x: (x - m) * (x - m)))))
 
 
 def spread_of(a: Column) -> Column:
     """Population standard deviation of an array."""
-    return F.sqrt(mean_of(F.transform(a, lambda x: (x - mean_of(a)) * (x - mean_of(a)))))
+    return F.sqrt(variance_of(a))
 
 
 def seconds(t: Column, time: bool) -> Column:
