@@ -42,3 +42,11 @@ def test_changes_in_a_large_window(spark):
     got = in_one_window(spark, VALUES, "std_diff", "distance", "std_time_diff")
     steps = np.diff(VALUES)
     assert got == pytest.approx({"std_diff": steps.std(), "distance": np.sqrt(1 + steps**2).sum(), "std_time_diff": 0.0})
+
+
+def test_order_in_a_large_window(spark):
+    got = in_one_window(spark, VALUES, FuncWrapper("autocorrelation", "autocorrelation", lag=1), "peaks", FuncWrapper("index_mass_quantile", "half", q=0.5))
+    apart, passed = VALUES - VALUES.mean(), np.cumsum(np.abs(VALUES))
+    assert got["autocorrelation"] == pytest.approx((apart[1:] * apart[:-1]).mean() / VALUES.var())
+    assert got["peaks"] == ((VALUES[1:-1] > VALUES[:-2]) & (VALUES[1:-1] > VALUES[2:])).sum()
+    assert got["half"] == pytest.approx((np.argmax(passed >= passed[-1] / 2) + 1) / len(VALUES))

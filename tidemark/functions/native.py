@@ -125,26 +125,31 @@ def _quantile(t, v, p, time, q=0.5, **_):
 
 def _index_mass_quantile(t, v, p, time, q=0.5, **_):
     """Share of the window, by position, that has passed when a share ``q`` of the absolute mass has."""
-    sizes = F.transform(ordered(t, v), F.abs)
-    steps = F.aggregate(sizes, F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n")), lambda s, x: F.struct((s["mass"] + x).alias("mass"), (s["n"] + F.when(s["mass"] + x < F.lit(q) * total(sizes), 1).otherwise(0)).alias("n")))
-    return [F.when(total(sizes) > 0, F.least(steps["n"] + 1, F.size(sizes)) / F.size(sizes))]
+    def share(sizes, mass):
+        steps = F.aggregate(sizes, F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("n")), lambda s, x: F.struct((s["mass"] + x).alias("mass"), (s["n"] + F.when(s["mass"] + x < F.lit(q) * mass, 1).otherwise(0)).alias("n")))
+        return F.when(mass > 0, F.least(steps["n"] + 1, F.size(sizes)) / F.size(sizes))
+
+    return [once(F.transform(ordered(t, v), F.abs), lambda sizes: once(total(sizes), lambda mass: share(sizes, mass)))]
 
 
 def _autocorrelation(t, v, p, time, lag=1, **_):
     """Mean product of deviations ``lag`` samples apart, by the population variance."""
-    a = ordered(t, v)
-    n = F.size(a) - lag
-    middle = mean_of(a)
-    products = F.zip_with(F.slice(a, 1, F.greatest(n, F.lit(0))), F.slice(a, lag + 1, F.greatest(n, F.lit(0))), lambda x, y: (x - middle) * (y - middle))
-    return [F.when(n > 0, F.try_divide(total(products) / n, spread_of(a) * spread_of(a)))]
+    def ratio(a, middle):
+        n = F.size(a) - lag
+        products = F.zip_with(F.slice(a, 1, F.greatest(n, F.lit(0))), F.slice(a, lag + 1, F.greatest(n, F.lit(0))), lambda x, y: (x - middle) * (y - middle))
+        return F.when(n > 0, F.try_divide(total(products) / n, variance_of(a)))
+
+    return [once(ordered(t, v), lambda a: once(mean_of(a), lambda middle: ratio(a, middle)))]
 
 
 def _peaks(t, v, p, time, n=1, **_):
     """Values larger than each of their ``n`` neighbours on both sides."""
-    a = ordered(t, v)
-    inside = F.when(F.size(a) > 2 * n, F.sequence(F.lit(n), F.size(a) - n - 1)).otherwise(F.array().cast("array<int>"))
-    higher = lambda i: fold(lambda x, y: x & y, [(F.get(a, i) > F.get(a, i + k)) & (F.get(a, i) > F.get(a, i - k)) for k in range(1, n + 1)])
-    return [F.size(F.filter(inside, higher))]
+    def count(a):
+        inside = F.when(F.size(a) > 2 * n, F.sequence(F.lit(n), F.size(a) - n - 1)).otherwise(F.array().cast("array<int>"))
+        higher = lambda i: fold(lambda x, y: x & y, [(F.get(a, i) > F.get(a, i + k)) & (F.get(a, i) > F.get(a, i - k)) for k in range(1, n + 1)])
+        return F.size(F.filter(inside, higher))
+
+    return [once(ordered(t, v), count)]
 
 
 def _value_entropy(t, v, p, time, **_):
