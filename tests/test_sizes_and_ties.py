@@ -50,3 +50,9 @@ def test_order_in_a_large_window(spark):
     assert got["autocorrelation"] == pytest.approx((apart[1:] * apart[:-1]).mean() / VALUES.var())
     assert got["peaks"] == ((VALUES[1:-1] > VALUES[:-2]) & (VALUES[1:-1] > VALUES[2:])).sum()
     assert got["half"] == pytest.approx((np.argmax(passed >= passed[-1] / 2) + 1) / len(VALUES))
+
+
+def test_slope_of_a_large_window(spark):
+    got = in_one_window(spark, VALUES, "slope", "auc")
+    assert got["slope"] == pytest.approx(np.polyfit(np.arange(len(VALUES)), VALUES, 1)[0])
+    assert got["auc"] == pytest.approx(np.trapezoid(VALUES))

@@ -189,9 +189,7 @@ def _relative_slope(t, v, p, time, **_):
 
 def _area_under_curve(t, v, p, time, **_):
     """Trapezoids over the index (seconds for times)."""
-    pairs = F.array_sort(F.collect_list(F.struct(t.alias("t"), number(v).alias("v"))))
-    n = F.greatest(F.size(pairs) - 1, F.lit(0))
-    return [total(F.zip_with(F.slice(pairs, 1, n), F.slice(pairs, 2, n), lambda x, y: (x["v"] + y["v"]) / 2 * seconds(y["t"] - x["t"], time)))]
+    return [total(neighbours(ordered_pairs(t, v), lambda x, y: (x["v"] + y["v"]) / 2 * seconds(y["t"] - x["t"], time)))]
 
 
 def _category_counts(t, v, p, time, categories=(), **_):
@@ -332,10 +330,11 @@ def from_parts(name: str, merged: dict[str, Column], time: bool, kwargs: dict) -
 
 
 def _slope_by_position(a: Column) -> Column:
-    n = F.size(a)
-    xs = F.transform(a, lambda x, i: i * x)
-    middle = (n - 1) / 2
-    return (total(xs) - middle * total(a)) / F.nullif(n * (n * n - 1) / 12, F.lit(0))
+    def slope(a):
+        n = F.size(a).cast("double")  # its cube is too large for an integer from 1,291 values on
+        return total(F.transform(a, lambda x, i: (i - (n - 1) / 2) * x)) / F.nullif(n * (n * n - 1) / 12, F.lit(0.0))
+
+    return once(a, slope)
 
 
 def default_outputs(name: str, kwargs: dict) -> list[str]:
