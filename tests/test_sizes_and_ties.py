@@ -56,3 +56,17 @@ def test_slope_of_a_large_window(spark):
     got = in_one_window(spark, VALUES, "slope", "auc")
     assert got["slope"] == pytest.approx(np.polyfit(np.arange(len(VALUES)), VALUES, 1)[0])
     assert got["auc"] == pytest.approx(np.trapezoid(VALUES))
+
+
+def test_slices_keep_the_index_out_of_lambdas(spark):
+    """Spark would infer a filter on it for the other side of a join, where it is not."""
+    plan = spark.range(3).select(ordering.Slicing([1, 2]).of_value(F.col("id")))._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction" in plan and not re.search(r"id#\d", plan.split("lambdafunction", 1)[1].split("Range")[0].split("+-")[0])
+
+
+def test_chunks_of_equal_times(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 50)
+    t = pd.date_range("2024-01-01", periods=100, freq="s").delete(range(40, 50))
+    df = spark.createDataFrame(pd.DataFrame({"ts": t.repeat(3), "v": np.tile([1.0, 2.0, 3.0], len(t))}))
+    got = chunk_data(df.repartition(5), {"v": 1}).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).collect()
+    assert sorted(map(tuple, got)) == [(0, 120, 240.0), (1, 150, 300.0)]

@@ -70,7 +70,9 @@ def chunk_data(
         period = F.lit(1e6 / rates[s.name]) if known else F.col("__step").cast("double")
         gap = (F.col("t") - F.col("__p") > GAP_PERIODS * period) & (F.col("t") < F.col("__last"))
         rows = rows.where("__all >= 2").withColumn("__period", period)
-        rows = ordering.with_running_sum(rows, "t", F.coalesce(gap.cast("long"), F.lit(0)), "__run", keys, slicing=slicing)
+        # Of equal times the one with the gap before it comes first, so all of them are in its run.
+        rows = rows.withColumn("__gap", F.coalesce(gap.cast("long"), F.lit(0)))
+        rows = ordering.with_running_sum(rows, "t", F.col("__gap"), "__run", keys, tie=[F.desc("__gap")], slicing=slicing)
         rows = write_once(rows.select(*keys, "t", "__raw", "__period", "__run"), "chunk-rows")  # read for ranges and for the result
         meta = rows.groupBy(*keys, "__run").agg(F.min("t").alias("b"), F.max("t").alias("e"), F.count(F.lit(1)).alias("n"), F.first("__period").alias("period"))
         whole_s = F.floor(F.col("n") * F.col("period") / 1e6)

@@ -39,14 +39,19 @@ class Slicing:
         return not self.bounds
 
     def of_value(self, t: Column) -> Column:
-        """The number of bounds at or below ``t``, by binary search in an array of constants."""
+        """The number of bounds at or below ``t``, by binary search in an array of constants.
+
+        ``t`` is an argument of the lambda around it: of a column inside a lambda,
+        Spark may infer a filter for the other side of a join, which does not have it.
+        """
         if self.single:
             return F.lit(0)
         steps = 1 << (len(self.bounds).bit_length() - 1)
         padded = F.array(*map(F.lit, self.bounds))
         halves = F.array(*[F.lit(steps >> k) for k in range(steps.bit_length())])
-        at_or_below = lambda place: (place <= len(self.bounds)) & (F.get(padded, place - 1) <= t)
-        return F.aggregate(halves, F.lit(0), lambda n, step: n + F.when(at_or_below(n + step), step).otherwise(F.lit(0)))
+        at_or_below = lambda place, t: (place <= len(self.bounds)) & (F.get(padded, place - 1) <= t)
+        search = lambda t: F.aggregate(halves, F.lit(0), lambda n, step: n + F.when(at_or_below(n + step, t), step).otherwise(F.lit(0)))
+        return F.get(F.transform(F.array(t), search), F.lit(0))
 
 
 def _parts(df: DataFrame, t: str, keys: Sequence[str], slicing: Slicing | None) -> tuple[DataFrame, list[str], Slicing]:
@@ -74,7 +79,7 @@ def with_previous(df: DataFrame, t: str, cols: dict[str, str], keys: Sequence[st
     return out.withColumns({new: F.when(F.col("__row") == 1, F.col(f"__last_{new}")["x"]).otherwise(F.col(new)) for new in cols}).select(*df.columns, *cols)
 
 
-def with_running_sum(df: DataFrame, t: str, value: Column, name: str, keys: Sequence[str] = (), tie: Sequence[str] = (), slicing: Slicing | None = None) -> DataFrame:
+def with_running_sum(df: DataFrame, t: str, value: Column, name: str, keys: Sequence[str] = (), tie: Sequence[str | Column] = (), slicing: Slicing | None = None) -> DataFrame:
     """Add the running sum of ``value`` by ``t`` and then ``tie``, the own row included."""
     part, by, slicing = _parts(df.withColumn("__add", value), t, keys, slicing)
     own = part.withColumn(name, F.sum("__add").over(Window.partitionBy(*by).orderBy(t, *tie).rowsBetween(Window.unboundedPreceding, 0)))
