@@ -442,19 +442,19 @@ class FeatureCollection:
         return out
 
     def _runs(self, series: SeriesSet, table: DataFrame, column: str, keys) -> DataFrame:
-        """One row per run of equal values; rows between two runs' starts belong to the first of them."""
+        """One row per run of equal values; rows between two runs' starts belong to the first of them, rows of one index to one run."""
         if column in ("start", "end"):
             raise AssertionError("the group column may not be named start or end")
         one = series[self.get_required_series()[0]]
         rows = table.withColumn("__t", index_number(table, one.index))
         slicing = ordering.Slicing.of(rows, "__t")
-        marks = ordering.with_previous(rows.where(_known(table, column)).select(*keys, "__t", F.col(column).alias("__value")), "__t", {"__before": "__value"}, keys, slicing=slicing)
-        starts = marks.select(*keys, "__t", "__value", (~F.col("__value").eqNullSafe(F.col("__before"))).cast("long").alias("__new"))
-        runs = ordering.with_running_sum(starts, "__t", F.col("__new"), "__run", keys, slicing=slicing)
-        ends = runs.groupBy(*keys, "__run").agg(F.min("__t").alias("__s"), F.max("__t").alias("__e"), F.first("__value").alias(column))
+        marks = ordering.with_previous(rows.where(_known(table, column)).select(*keys, "__t", F.col(column).alias("__value")), "__t", {"__before": "__value"}, keys, tie=["__value"], slicing=slicing)
+        starts = marks.select(*keys, "__t", (~F.col("__value").eqNullSafe(F.col("__before"))).cast("long").alias("__new"))
         # All rows take the run that began last: those without a value, too.
-        every = rows.join(runs.groupBy(*keys, "__t").agg(F.max("__new").alias("__new")), [*keys, "__t"], "left")
-        every = ordering.with_running_sum(every, "__t", F.coalesce("__new", F.lit(0)), "__run", keys, slicing=slicing).where("__run > 0")
+        times = rows.select(*keys, "__t", F.lit(0).cast("long").alias("__new")).unionByName(starts).groupBy(*keys, "__t").agg(F.max("__new").alias("__new"))
+        runs = ordering.with_running_sum(times, "__t", F.col("__new"), "__run", keys, slicing=slicing).where("__run > 0").select(*keys, "__t", "__run")
+        every = rows.join(runs, [*keys, "__t"])
+        ends = every.where(_known(table, column)).groupBy(*keys, "__run").agg(F.min("__t").alias("__s"), F.max("__t").alias("__e"), F.min(f"`{column}`").alias(column))
         by, python, got = [*keys, "__run"], [d for d in self.descriptors() if not d.function.native], ends
         if len(python) < len(self.descriptors()):
             aggs = []

@@ -20,7 +20,7 @@ from ..functions import adapters, spectral
 from ..model import flatten, name_of, to_tuple
 from ..operators import processing as P
 from ..sources import readers
-from .catalogue import BASIC, BASIC_NAMES, CHUNK_FS, RUNS_SQL, H, events, grid_sql, hop_sql, kinds, query, renamed, table
+from .catalogue import BASIC, BASIC_NAMES, CHUNK_FS, RUNS_SQL, H, events, grid_sql, hop_sql, kinds, kinds_of_rows, query, renamed, table
 
 
 def one(func, series, window, stride=None) -> FeatureCollection:
@@ -357,10 +357,9 @@ RUNS_OF_KIND = (
 @query(RUNS_OF_KIND + "SELECT min(kind) AS kind, min(ts) FILTER (kind IS NOT NULL) AS run_start, round(max(value) - min(value), 6) AS spread, round(sum(value), 6) AS total FROM m WHERE run > 0 GROUP BY run")
 def python_runs(spark, d):
     """Runs of equal values with a Python function beside a native one."""
-    df = table(spark, d, "events").select("ts", "value", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"))
-    fc = FeatureCollection([FeatureDescriptor(FuncWrapper(lambda x: float(x.max() - x.min()), "spread"), "value"), FeatureDescriptor("sum", "value")])
-    out = fc.calculate(df, return_df=True, group_by_consecutive="kind", index="ts", checks=False)
-    return renamed(out, kind="kind", run_start="__start", spread="value__spread__w=manual", total="value__sum__w=manual")
+    fc = FeatureCollection([FeatureDescriptor(FuncWrapper(lambda x: float(x.max() - x.min()), "spread"), "value"), FeatureDescriptor("sum", "counted")])
+    out = fc.calculate(kinds_of_rows(spark, d), return_df=True, group_by_consecutive="kind", index="ts", checks=False)
+    return renamed(out, kind="kind", run_start="__start", spread="value__spread__w=manual", total="counted__sum__w=manual")
 
 
 @query("WITH w AS (SELECT g.ws, value FROM (SELECT (SELECT min(event_id) FROM events) + i * 40 AS ws FROM range(0, ((SELECT max(event_id) - min(event_id) FROM events) - 100) // 40 + 1) r(i)) g JOIN events ON event_id >= ws AND event_id < ws + 100) SELECT ws AS event_id, round(avg(value), 6) AS average, round(max(value) - min(value), 6) AS spread FROM w GROUP BY ws")
