@@ -77,6 +77,7 @@ def test_chunks_of_equal_times(spark, monkeypatch):
 #: Queries whose tables may hold several rows of one time.
 OF_EQUAL_TIMES = [
     "group_by_consecutive",
+    "group_by_of_two_tables",
     "python_runs",
 ]
 
@@ -116,6 +117,14 @@ def several(spark, values, name="v", at=None):
     return spark.createDataFrame(pd.DataFrame({"ts": t, name: values})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def test_merge_of_tables_is_a_full_join(spark):
+    a = several(spark, [1.0, 2.0, 3.0, 4.0], "a", [0, 0, 1, None])
+    b = several(spark, [10.0, 20.0, 30.0, 40.0], "b", [0, 0, 2, None])
+    got = outer_merge([Series("a", a, "ts", "a"), Series("b", b, "ts", "b")]).toPandas()
+    pairs = sorted(zip(got.a.fillna(0), got.b.fillna(0), strict=True))
+    assert pairs == [(0, 30), (0, 40), (1, 10), (1, 20), (2, 10), (2, 20), (3, 0), (4, 0)]
+
+
 @pytest.mark.parametrize("slice_rows", [3, 1 << 20])
 def test_runs_of_equal_times(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(ordering, "SLICE_ROWS", slice_rows)

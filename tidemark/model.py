@@ -6,15 +6,16 @@ import functools
 import itertools
 import warnings
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import timeargs
+from .runtime import fresh_name
 
 EPOCH = "1970-01-01"
 
@@ -53,13 +54,25 @@ def is_time(kind: T.DataType) -> bool:
 
 @dataclass(frozen=True)
 class Series:
-    """One named value column with its index, and entity columns if there are any."""
+    """One named value column with its index, and entity columns if there are any.
+
+    ``row`` numbers the rows of one index, and ``source`` is the table whose rows
+    they are: what was made of one row goes together, however many rows have
+    its index.
+    """
 
     name: str
     df: DataFrame
     index: str
     value: str
     keys: tuple[str, ...] = ()
+    row: str | None = None
+    source: object = field(default=None, compare=False)
+
+    @property
+    def own(self) -> list[str]:
+        """The columns that tell rows apart."""
+        return [*self.keys, self.index, *([self.row] if self.row else [])]
 
     @property
     def kind(self) -> T.DataType:
@@ -70,6 +83,24 @@ class Series:
         return self.df.select(*self.keys, index_number(self.df, self.index).alias("t"), F.col(self.value).alias("v"))
 
 
+def with_rows(series: Iterable[Series]) -> list[Series]:
+    """Series whose rows have numbers; those of one table share them.
+
+    Rows of one index are numbered by their content, so that rows with one
+    number differ in nothing wherever the table is computed again.
+    """
+    made, out = {}, []
+    for s in series:
+        at = (id(s.df), s.index, s.keys)
+        if not s.row and at not in made:
+            content = [f.name for f in s.df.schema.fields if f.name not in (*s.keys, s.index) and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+            row = fresh_name(s.df, "__row_of_index")
+            order = Window.partitionBy(*s.keys, s.index).orderBy(*[F.col(f"`{c}`") for c in content] or [F.lit(0)])
+            made[at] = s.df.withColumn(row, F.row_number().over(order)), row
+        out.append(s if s.row else replace(s, df=made[at][0], row=made[at][1], source=made[at][0]))
+    return out
+
+
 @dataclass(frozen=True)
 class Grouped:
     """A table to be grouped by columns (the counterpart of a group-by object)."""

@@ -6,7 +6,7 @@ import math
 import time
 import warnings
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce as fold
 
 import numpy as np
@@ -785,8 +785,44 @@ def concat_rows(tables: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFram
 
 
 def outer_merge(series: Sequence[Series]) -> DataFrame:
-    """Full outer merge of series on their index (unique per key): union, then one aggregation."""
+    """Full outer merge of series on their index, as a join: where several rows of two tables have one index, all pairs of them.
+
+    Series of one table, or made of its rows, go together row by row.
+    """
     one = series[0]
-    wide = [s.df.select(*one.keys, F.col(s.index).alias(one.index), *[(F.struct(F.col(s.value).alias("v")) if s is o else F.lit(None)).cast(f"struct<v:{o.df.schema[o.value].dataType.simpleString()}>").alias(o.name) for o in series]) for s in series]
-    rows = fold(DataFrame.unionByName, wide).groupBy(*one.keys, one.index).agg(*[F.first(F.col(f"`{s.name}`"), ignorenulls=True).alias(s.name) for s in series])
-    return rows.select(*one.keys, one.index, *[F.col(f"`{s.name}`")["v"].alias(s.name) for s in series])
+    return merge_rows(series)[0].select(*one.keys, one.index, *quoted(s.name for s in series))
+
+
+def merge_rows(series: Sequence[Series]) -> tuple[DataFrame, Series]:
+    """The outer merge, and the first series in it; that has numbers of rows if all are made of one table's."""
+    one, sides = series[0], {}
+    for s in series:
+        sides.setdefault(id(s.source) if s.row else (id(s.df), s.index), []).append(s)
+    tables = [_rows_together(own, one) for own in sides.values()]
+    if len(tables) == 1:
+        return tables[0], replace(one, df=tables[0], value=one.name)
+    # Each side's rows of an index are gathered, then each row of one side meets each of the others.
+    packed = [F.struct(*quoted(s.name for s in own)).alias(f"__side{i}") for i, own in enumerate(sides.values())]
+    kinds = [t.select(p).schema[0].dataType for t, p in zip(tables, packed, strict=True)]
+    alone = lambda i: F.when(F.col(f"`{one.index}`").isNull(), F.lit(i)).alias("__alone")  # noqa: E731  no index equals none
+    wide = [t.select(*one.keys, one.index, alone(i), *[packed[j] if i == j else F.lit(None).cast(kinds[j]).alias(f"__side{j}") for j in range(len(tables))]) for i, t in enumerate(tables)]
+    names = [f"__side{i}" for i in range(len(tables))]
+    out = fold(DataFrame.unionByName, wide).groupBy(*one.keys, one.index, "__alone").agg(*[F.collect_list(n).alias(n) for n in names])
+    for n in names:
+        out = out.withColumn(n, F.explode_outer(n))
+    values = [F.col(f"__side{i}")[s.name].alias(s.name) for i, own in enumerate(sides.values()) for s in own]
+    out = out.select(*one.keys, one.index, *values)
+    return out, replace(one, df=out, value=one.name, row=None, source=None)
+
+
+def _rows_together(own: Sequence[Series], one: Series) -> DataFrame:
+    """Series of one table as columns named by them; those that have lost rows are null there."""
+    first = own[0]
+    ids = lambda s: [*one.keys, F.col(f"`{s.index}`").alias(one.index), *([s.row] if s.row else [])]
+    if all(s.df is first.df and s.index == first.index for s in own):
+        return first.df.select(*ids(first), *[F.col(f"`{s.value}`").alias(s.name) for s in own])
+    kinds = {s.name: T.StructType([T.StructField("v", s.df.schema[s.value].dataType)]) for s in own}
+    wide = [s.df.select(*ids(s), *[(F.struct(F.col(f"`{s.value}`").alias("v")) if s is o else F.lit(None)).cast(kinds[o.name]).alias(o.name) for o in own]) for s in own]
+    by = [*one.keys, one.index, first.row]
+    rows = fold(DataFrame.unionByName, wide).groupBy(*by).agg(*[F.first(F.col(f"`{s.name}`"), ignorenulls=True).alias(s.name) for s in own])
+    return rows.select(*by, *[F.col(f"`{s.name}`")["v"].alias(s.name) for s in own])
