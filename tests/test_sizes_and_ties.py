@@ -78,6 +78,7 @@ def test_chunks_of_equal_times(spark, monkeypatch):
 OF_EQUAL_TIMES = [
     "group_by_consecutive",
     "group_by_of_two_tables",
+    "nested_pipelines",
     "python_runs",
 ]
 
@@ -117,6 +118,16 @@ def several(spark, values, name="v", at=None):
     return spark.createDataFrame(pd.DataFrame({"ts": t, name: values})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def test_what_is_made_of_a_row_stays_with_it(spark):
+    df = several(spark, [5.0, 1.0, 3.0, 2.0, 8.0, 2.0]).repartition(3)
+    made = SeriesProcessor(lambda s: [(-s).rename("minus"), s[s > 2].rename("large")], "v")
+    pipe = SeriesPipeline([made, SeriesProcessor(P.combine, ("v", "minus"), name="zero"), SeriesProcessor(P.threshold, "v", least=3.0), SeriesProcessor(P.drop_na, "v")])
+    got = pipe.process(df, return_df=True).toPandas()
+    assert sorted(-got.minus) == [1, 2, 2, 3, 5, 8] and (got.zero == 0).all()
+    assert sorted(got.v.dropna()) == [3, 5, 8] and (got.v + got.minus).dropna().eq(0).all()
+    assert sorted(got.large.dropna()) == [3, 5, 8]
+
+
 def test_merge_of_tables_is_a_full_join(spark):
     a = several(spark, [1.0, 2.0, 3.0, 4.0], "a", [0, 0, 1, None])
     b = several(spark, [10.0, 20.0, 30.0, 40.0], "b", [0, 0, 2, None])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import time
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import metrics
-from ..model import Series, SeriesSet, index_number, is_time, name_of, to_tuple
+from ..model import Series, SeriesSet, index_number, is_time, name_of, to_tuple, with_rows
 from ..plans import ordering
-from ..runtime import ship_package, write_once
-from .collection import outer_merge
+from ..runtime import fresh_name, ship_package, write_once
+from .collection import merge_rows, outer_merge
 
 
 class ProcessingError(Exception):
@@ -86,14 +87,13 @@ class SeriesProcessor:
         kind, one = getattr(self.function, "tidemark_kind", "pandas"), inputs[0]
         if kind == "column":
             if all(s.df is one.df for s in inputs):
-                df = one.df
-                cols = [F.col(f"`{s.value}`") for s in inputs]
+                at, cols = one, [F.col(f"`{s.value}`") for s in inputs]
             else:
-                df = outer_merge(inputs)
-                cols = [F.col(f"`{s.name}`") for s in inputs]
+                at, cols = merge_rows(inputs)[1], [F.col(f"`{s.name}`") for s in inputs]
             got = self.function(*cols, **self.kwargs)
             named = got if isinstance(got, dict) else {one.name if len(inputs) == 1 else self._out_name(): got}
-            return {n: Series(n, df.select(*one.keys, one.index, c.alias(n)), one.index, n, one.keys) for n, c in named.items()}
+            df = at.df.select(*at.own, *[c.alias(n) for n, c in named.items()])
+            return {n: replace(at, name=n, df=df, value=n) for n in named}
         if kind == "series":
             got = self.function(*inputs, **self.kwargs)
             got = got if isinstance(got, list) else [got]
@@ -111,13 +111,23 @@ class SeriesProcessor:
         ship_package(one.df.sparkSession)
         declared = self.kwargs.get("output_names")
         kwargs = {k: v for k, v in self.kwargs.items() if k != "output_names"}
-        table = outer_merge(inputs)
-        schema = T.StructType([*[table.schema[k] for k in one.keys], table.schema[one.index], T.StructField("__name", T.StringType()), T.StructField("__value", T.DoubleType())])
+        table, at = merge_rows(inputs)
+        known, row = at.row, at.row or fresh_name(table, "__row_of_index")
+        schema = T.StructType([*[table.schema[k] for k in one.keys], table.schema[one.index], T.StructField(row, T.IntegerType()), T.StructField("__name", T.StringType()), T.StructField("__value", T.DoubleType())])
         function, index, keys, names, step = self.function, one.index, list(one.keys), [s.name for s in inputs], self.name
 
+        def counted(s: pd.Series) -> np.ndarray:
+            return s.groupby(level=0, dropna=False).cumcount().to_numpy() + 1
+
+        def rows_of(s: pd.Series, args: list[pd.Series], rows: list[np.ndarray]) -> np.ndarray:
+            """Numbers of the rows that an output is made of: an input's if it has its index, else as they come."""
+            of_input = next((r for a, r in zip(args, rows, strict=True) if s.index.equals(a.index)), None)
+            return counted(s) if of_input is None else of_input
+
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(index)
+            pdf = pdf.sort_values([index, known] if known else index, kind="stable")
             args = [pdf.set_index(index)[n].dropna() for n in names]
+            rows = [pdf[known].to_numpy()[pdf[n].notna().to_numpy()] if known else counted(a) for n, a in zip(names, args, strict=True)]
             try:
                 made = named_series(function(*args, **kwargs), args)
             except Exception as e:
@@ -125,17 +135,18 @@ class SeriesProcessor:
             unknown = {s.name for s in made} - set(declared or [s.name for s in made])
             if unknown or len({s.name for s in made}) < len(made):
                 raise RuntimeError(f"error while processing function {step}: outputs {sorted(s.name for s in made)} are not distinct or not declared")
-            parts = [pd.DataFrame({index: s.index, "__name": s.name, "__value": pd.to_numeric(s.to_numpy()).astype(float)}) for s in made]
-            out = pd.concat(parts) if parts else pd.DataFrame(columns=[index, "__name", "__value"])
+            parts = [pd.DataFrame({index: s.index, row: rows_of(s, args, rows), "__name": s.name, "__value": pd.to_numeric(s.to_numpy()).astype(float)}) for s in made]
+            out = pd.concat(parts) if parts else pd.DataFrame(columns=[index, row, "__name", "__value"])
             for k in keys:
                 out[k] = pdf[k].iloc[0]
-            return out[[*keys, index, "__name", "__value"]]
+            return out[[*keys, index, row, "__name", "__value"]]
 
         got = table.groupBy(*keys).applyInPandas(run, schema)
         if declared is None:
             got = write_once(got, "processed")
         outputs = declared or [r[0] for r in got.select("__name").distinct().orderBy("__name").collect()]
-        return {n: Series(n, got.where(F.col("__name") == n).select(*keys, index, F.col("__value").alias(n)), index, n, one.keys) for n in outputs}
+        source = at.source if known else got
+        return {n: Series(n, got.where(F.col("__name") == n).select(*keys, index, row, F.col("__value").alias(n)), index, n, one.keys, row, source) for n in outputs}
 
 
 def named_series(got, inputs: list[pd.Series]) -> list[pd.Series]:
@@ -180,6 +191,7 @@ class SeriesPipeline:
         for s in now.values():
             if not is_time(s.kind) and not s.df.isEmpty():
                 raise AssertionError(f"series {s.name} needs a time index")
+        now = {s.name: s for s in with_rows(now.values())}
         made, logs = [], []
         for step in self.steps:
             began = time.perf_counter()
@@ -187,7 +199,7 @@ class SeriesPipeline:
                 out = step(SeriesSet(now.values()))
             except Exception as e:
                 raise ProcessingError(f"error while processing function {step.name}: {e}") from e
-            now |= out
+            now |= {s.name: s for s in with_rows(out.values())}
             made += out
             logs.append((step, time.perf_counter() - began))
         if logging_file_path:
@@ -250,16 +262,17 @@ def combine(*vs: Column, name: str, signs: Sequence[int] = ()) -> dict[str, Colu
 
 def _with(s: Series, df: DataFrame, value: Column, name: str | None = None) -> Series:
     n = name or s.name
-    return Series(n, df.select(*s.keys, s.index, value.alias(n)), s.index, n, s.keys)
+    return replace(s, name=n, df=df.select(*s.own, value.alias(n)), value=n)
 
 
 @on_series
 def drop_na(s: Series) -> Series:
-    return Series(s.name, s.df.select(*s.keys, s.index, F.col(s.value).alias(s.name)).where(F.col(s.name).isNotNull() & ~F.isnan(F.col(s.name).cast("double"))), s.index, s.name, s.keys)
+    v = F.col(f"`{s.name}`")
+    return replace(s, df=s.df.select(*s.own, F.col(f"`{s.value}`").alias(s.name)).where(v.isNotNull() & ~F.isnan(v.cast("double"))), value=s.name)
 
 
 def _numbered(s: Series) -> DataFrame:
-    return s.df.select(*s.keys, s.index, F.col(s.value).alias("__v"), index_number(s.df, s.index).alias("__t"))
+    return s.df.select(*s.own, F.col(f"`{s.value}`").alias("__v"), index_number(s.df, s.index).alias("__t"))
 
 
 def _scalars(s: Series, **aggs: Column) -> DataFrame:
@@ -294,7 +307,7 @@ def detrend(s: Series) -> Series:
 
 @on_series
 def difference(s: Series, absolute_value: bool = False) -> Series:
-    df = ordering.with_previous(_numbered(s), "__t", {"__p": "__v"}, s.keys)
+    df = ordering.with_previous(_numbered(s), "__t", {"__p": "__v"}, s.keys, tie=["__v"])
     d = F.col("__v") - F.col("__p")
     return _with(s, df, F.abs(d) if absolute_value else d)
 
@@ -302,7 +315,7 @@ def difference(s: Series, absolute_value: bool = False) -> Series:
 @on_series
 def shift_rows(s: Series, steps: int = 1, name: str | None = None) -> Series:
     """The value ``steps`` rows before (after, if negative); null where there is none."""
-    return _with(s, ordering.with_shifted(_numbered(s), "__t", "__v", "__s", steps, s.keys), F.col("__s"), name)
+    return _with(s, ordering.with_shifted(_numbered(s), "__t", "__v", "__s", steps, s.keys, tie=["__v"]), F.col("__s"), name)
 
 
 @on_series
@@ -321,7 +334,7 @@ SLICE = 4096
 
 def _frame(s: Series, before: int, after: int) -> DataFrame:
     """Rows with the array of their neighbours' values by position; slices of positions borrow rows at their edges."""
-    df = ordering.with_position(_numbered(s), "__t", "__n", s.keys)
+    df = ordering.with_position(_numbered(s), "__t", "__n", s.keys, tie=["__v"])
     cut = max(SLICE, before, after)  # so that a neighbourhood reaches the next slice at most
     own = df.withColumn("__part", F.floor(F.col("__n") / cut)).withColumn("__own", F.lit(True))
     edge = lambda to: own.where((F.floor((F.col("__n") + to) / cut)) != F.col("__part")).withColumn("__part", F.floor((F.col("__n") + to) / cut)).withColumn("__own", F.lit(False))
