@@ -79,6 +79,7 @@ OF_EQUAL_TIMES = [
     "group_by_consecutive",
     "group_by_of_two_tables",
     "nested_pipelines",
+    "outer_merge_of_three",
     "python_runs",
 ]
 
