@@ -80,6 +80,7 @@ OF_EQUAL_TIMES = [
     "group_by_of_two_tables",
     "nested_pipelines",
     "outer_merge_of_three",
+    "outer_merge_series",
     "python_runs",
 ]
 
