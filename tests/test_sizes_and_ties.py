@@ -81,6 +81,7 @@ OF_EQUAL_TIMES = [
     "nested_pipelines",
     "outer_merge_of_three",
     "outer_merge_series",
+    "pipeline_round_trip",
     "python_runs",
 ]
 
