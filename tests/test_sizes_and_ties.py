@@ -82,6 +82,7 @@ OF_EQUAL_TIMES = [
     "outer_merge_of_three",
     "outer_merge_series",
     "pipeline_round_trip",
+    "process_array",
     "python_runs",
 ]
 
