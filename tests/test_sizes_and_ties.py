@@ -83,6 +83,7 @@ OF_EQUAL_TIMES = [
     "outer_merge_series",
     "pipeline_round_trip",
     "process_array",
+    "process_clip_abs",
     "python_runs",
 ]
 
