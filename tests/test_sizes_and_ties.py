@@ -84,6 +84,7 @@ OF_EQUAL_TIMES = [
     "pipeline_round_trip",
     "process_array",
     "process_clip_abs",
+    "process_dataframe_func",
     "python_runs",
 ]
 
