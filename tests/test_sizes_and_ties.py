@@ -85,6 +85,7 @@ OF_EQUAL_TIMES = [
     "process_array",
     "process_clip_abs",
     "process_dataframe_func",
+    "process_detrend",
     "python_runs",
 ]
 
