@@ -86,6 +86,7 @@ OF_EQUAL_TIMES = [
     "process_clip_abs",
     "process_dataframe_func",
     "process_detrend",
+    "process_difference",
     "python_runs",
 ]
 
