@@ -87,6 +87,7 @@ OF_EQUAL_TIMES = [
     "process_dataframe_func",
     "process_detrend",
     "process_difference",
+    "process_difference_by_key",
     "python_runs",
 ]
 
