@@ -88,6 +88,7 @@ OF_EQUAL_TIMES = [
     "process_detrend",
     "process_difference",
     "process_difference_by_key",
+    "process_frame",
     "python_runs",
 ]
 
