@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -27,6 +27,10 @@ from ..runtime import fresh_name, ship_package, write_once
 from .collection import merge_rows, outer_merge
 
 
+#: Rows that a pandas step hands back at once.
+OUT_ROWS = 1 << 17
+
+
 class ProcessingError(Exception):
     """A step failed; the message names it."""
 
@@ -124,8 +128,9 @@ class SeriesProcessor:
             of_input = next((r for a, r in zip(args, rows, strict=True) if s.index.equals(a.index)), None)
             return counted(s) if of_input is None else of_input
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([index, known] if known else index, kind="stable")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(batches, ignore_index=True).sort_values([index, known] if known else index, kind="stable")
+            entity = {k: pdf[k].iloc[0] for k in keys}
             args = [pdf.set_index(index)[n].dropna() for n in names]
             rows = [pdf[known].to_numpy()[pdf[n].notna().to_numpy()] if known else counted(a) for n, a in zip(names, args, strict=True)]
             try:
@@ -135,11 +140,12 @@ class SeriesProcessor:
             unknown = {s.name for s in made} - set(declared or [s.name for s in made])
             if unknown or len({s.name for s in made}) < len(made):
                 raise RuntimeError(f"error while processing function {step}: outputs {sorted(s.name for s in made)} are not distinct or not declared")
-            parts = [pd.DataFrame({index: s.index, row: rows_of(s, args, rows), "__name": s.name, "__value": pd.to_numeric(s.to_numpy()).astype(float)}) for s in made]
-            out = pd.concat(parts) if parts else pd.DataFrame(columns=[index, row, "__name", "__value"])
-            for k in keys:
-                out[k] = pdf[k].iloc[0]
-            return out[[*keys, index, row, "__name", "__value"]]
+            del pdf
+            for s in made:
+                numbers = rows_of(s, args, rows)
+                for k in range(0, len(s), OUT_ROWS):
+                    part = s.iloc[k : k + OUT_ROWS]
+                    yield pd.DataFrame({**entity, index: part.index, row: numbers[k : k + OUT_ROWS], "__name": s.name, "__value": pd.to_numeric(part.to_numpy()).astype(float)})
 
         got = table.groupBy(*keys).applyInPandas(run, schema)
         if declared is None:
