@@ -90,6 +90,11 @@ OF_EQUAL_TIMES = [
     "process_difference_by_key",
     "process_frame",
     "process_interpolate",
+    "process_median_filter",
+    "process_named_series",
+    "process_rolling_mean",
+    "process_series_list",
+    "process_shift_rows",
     "python_runs",
 ]
 
